@@ -1,0 +1,127 @@
+"""Vectorised 64-bit hashes of words and word shingles, straight from UTF-8 bytes.
+
+A word is a maximal run of bytes other than space and 0x09-0x0D, with A-Z
+lower-cased.  Its hash is a polynomial over a random byte table, computed for
+all words of a text with one running sum modulo 2^64 and then mixed.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+
+SEGMENT = 1 << 18
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_MASK = (1 << 64) - 1
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(SEGMENT + 1, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_tables: tuple | None = None
+
+
+def tables() -> tuple:
+    """Byte table, space flags, powers and inverse powers; built once in a worker."""
+    global _tables
+    if _tables is None:
+        rng = np.random.Generator(np.random.PCG64(20240229))
+        byte = rng.integers(1, _MASK, size=256, dtype=np.uint64, endpoint=True)
+        byte[65:91] = byte[97:123]
+        space = np.zeros(256, dtype=bool)
+        space[[9, 10, 11, 12, 13, 32]] = True
+        byte[space] = 0
+        _tables = byte, space, _powers(_BASE), _powers(_INVERSE)
+    return _tables
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(32))
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def _segment(a: np.ndarray) -> np.ndarray:
+    byte, space, power, inverse = tables()
+    sums = np.zeros(len(a) + 1, dtype=np.uint64)
+    np.cumsum(byte[a] * power[: len(a)], out=sums[1:])
+    gap = np.ones(len(a) + 2, dtype=np.int8)
+    gap[1:-1] = space[a]
+    edge = np.diff(gap)
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    return (sums[end] - sums[start]) * inverse[start]
+
+
+def _long_word(a: np.ndarray) -> np.ndarray:
+    """The hash of one word longer than a segment, as if it stood at the start."""
+    byte, _, power, _ = tables()
+    total, factor = 0, 1
+    for lo in range(0, len(a), SEGMENT):
+        part = a[lo : lo + SEGMENT]
+        total = (total + factor * int(np.sum(byte[part] * power[: len(part)], dtype=np.uint64))) & _MASK
+        factor = factor * pow(_BASE, len(part), 1 << 64) & _MASK
+    return np.array([total], dtype=np.uint64)
+
+
+def word_hashes(a: np.ndarray) -> np.ndarray:
+    """Hashes of the words of a text given as its UTF-8 bytes."""
+    if len(a) <= SEGMENT:
+        return mix(_segment(a))
+    space, out, lo = tables()[1], [], 0
+    while lo < len(a):
+        hi = lo + SEGMENT
+        if hi < len(a):
+            gaps = np.flatnonzero(space[a[lo:hi]])
+            if len(gaps):
+                hi = lo + int(gaps[-1]) + 1
+            else:
+                while hi < len(a) and not space[a[hi]]:
+                    hi += 1
+                out.append(_long_word(a[lo:hi]))
+                lo = hi
+                continue
+        out.append(_segment(a[lo:hi]))
+        lo = hi
+    return mix(np.concatenate(out))
+
+
+def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words; the whole sequence if it is shorter; none without words."""
+    if not len(words):
+        return words
+    n = min(n, len(words))
+    k = len(words) - n + 1
+    h = words[:k].copy()
+    for i in range(1, n):
+        h *= np.uint64(0x9FB21C651E98DF25)
+        h ^= h >> np.uint64(28)
+        h += words[i : i + k]
+    h += np.uint64(n)
+    return mix(h)
+
+
+def shingle_set(a: np.ndarray, n: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text."""
+    return np.unique(shingle_hashes(word_hashes(a), n))
+
+
+def text_bytes(column: pa.Array):
+    """Yield each text of an Arrow string column as a view of its bytes; null gives none."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    wide = pa.types.is_large_string(column.type)
+    _, offsets, data = column.buffers()
+    count = len(column)
+    if not count:
+        return
+    at = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[column.offset : column.offset + count + 1]
+    raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+    for i in range(count):
+        yield raw[at[i] : at[i + 1]]  # a null text has no bytes

@@ -10,6 +10,7 @@ with the longest path; of rules with the same host and path the first given.
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,7 +93,7 @@ def filter_urls(docs: DataFrame, rules: list[tuple[str, str, str]], default: str
     shared = spark.sparkContext.broadcast(packed)
 
     @F.pandas_udf("int")
-    def winner(batches: "Iterator[tuple[pd.Series, pd.Series]]") -> "Iterator[pd.Series]":  # noqa: F821
+    def winner(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         trie = Trie([])
         trie.root = pickle.loads(shared.value)
         for hosts, paths in batches:

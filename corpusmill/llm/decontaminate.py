@@ -31,8 +31,13 @@ def words(text: Column) -> Column:
 
 def shingles(w: Column, n: int) -> Column:
     """Hashes of all runs of n words; of the whole if it is shorter; none without words."""
-    last = F.greatest(F.size(w) - (n - 1), F.lit(1))
-    return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(w, i, n))))
+
+    def runs(x: Column) -> Column:
+        last = F.greatest(F.size(x) - (n - 1), F.lit(1))
+        return F.when(F.size(x) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(x, i, n))))
+
+    # a lambda's variable is bound once; an expression would be evaluated again for every run
+    return F.get(F.transform(F.array(w), runs), F.lit(0))
 
 
 def item_shingles(items: DataFrame, n: int) -> DataFrame:

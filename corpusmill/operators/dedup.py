@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,11 +69,13 @@ def near_duplicate_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int =
 
 def minhash(shingles: Column, permutations: int = PERMUTATIONS, seed: int = 1) -> Column:
     """Signature of an array of 64-bit shingle hashes: minima of (a h + b) mod 2^31 - 1."""
-    import random
-
     rng = random.Random(seed)
+
+    def least(a: int, b: int) -> Column:
+        return F.array_min(F.transform(small, lambda h: F.pmod(h * a + b, F.lit(PRIME))))
+
     small = F.transform(shingles, lambda h: F.pmod(h, F.lit(PRIME)))
-    return F.array(*[F.array_min(F.transform(small, lambda h, a=rng.randrange(1, PRIME), b=rng.randrange(PRIME): F.pmod(h * a + b, F.lit(PRIME)))) for _ in range(permutations)])
+    return F.array(*[least(rng.randrange(1, PRIME), rng.randrange(PRIME)) for _ in range(permutations)])
 
 
 def bands_and_rows(threshold: float, permutations: int = PERMUTATIONS) -> tuple[int, int]:

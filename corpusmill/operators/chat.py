@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import SPACE, strip
+from corpusmill.functions.text import SPACE, let, strip
 
 # Markers of turns and of thought.
 TURN_OPEN, TURN_CLOSE = "<|turn>", "<turn|>"
@@ -132,8 +132,16 @@ def completion_mask(ids: Column, response: list[int], turn: list[int], keep_if_a
 
     Without a response marker all labels are kept, or all masked for a collator (keep_if_absent=False).
     """
-    starts, ends = _find(ids, response), _find(ids, turn)
-    spans = F.transform(starts, lambda s: F.struct((s + len(response)).alias("lo"), F.coalesce(F.array_min(F.filter(ends, lambda e: e >= s + len(response))), F.size(ids) + 1).alias("hi")))
-    labels = F.transform(ids, lambda x, i: F.when(F.exists(spans, lambda p: (i + 1 >= p["lo"]) & (i + 1 < p["hi"])), x).otherwise(F.lit(IGNORED)))
-    absent = ids if keep_if_absent else F.transform(ids, lambda x: F.lit(IGNORED))
-    return F.when(F.size(starts) > 0, labels).otherwise(absent)
+    size, after = F.size(ids), len(response)
+
+    def spans(places: Column) -> Column:
+        ends = lambda s: F.array_min(F.filter(places["ends"], lambda e: e >= s + after))
+        return F.transform(places["starts"], lambda s: F.struct((s + after).alias("lo"), F.coalesce(ends(s), size + 1).alias("hi")))
+
+    def labels(kept: Column) -> Column:
+        inside = lambda i: F.exists(kept, lambda p: (i + 1 >= p["lo"]) & (i + 1 < p["hi"]))
+        absent = ids if keep_if_absent else F.transform(ids, lambda x: F.lit(IGNORED))
+        return F.when(F.size(kept) == 0, absent).otherwise(F.transform(ids, lambda x, i: F.when(inside(i), x).otherwise(F.lit(IGNORED))))
+
+    places = F.struct(_find(ids, response).alias("starts"), _find(ids, turn).alias("ends"))
+    return let(let(places, spans), labels)

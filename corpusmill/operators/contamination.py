@@ -54,7 +54,7 @@ def fuzzy_lsh(docs: DataFrame, bench: DataFrame, n: int = SHINGLE, threshold: fl
 
     def banded(d: DataFrame, key: str) -> DataFrame:
         hashed = d.select(key, F.transform(ngrams(words(F.col("norm")), n), lambda g: F.xxhash64(g)).alias("s"))
-        sig = materialize(hashed.select(key, minhash(F.col("s"), permutations).alias("sig")), "signatures")
+        sig = materialize(minhash(hashed, permutations, key=key), "signatures").withColumnRenamed("signature", "sig")
         return sig.select(F.col(key), F.col("sig").alias(f"{key}_sig"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice("sig", i * rows + 1, rows)).alias("h")))).alias("band"))
 
     left, right = banded(docs, "doc_id"), banded(bench, "item_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import exact_hash, hash_order, ngrams, words
@@ -67,15 +67,17 @@ def near_duplicate_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int =
     return both.withColumn("jaccard", jaccard).filter(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
 
 
-def minhash(shingles: Column, permutations: int = PERMUTATIONS, seed: int = 1) -> Column:
-    """Signature of an array of 64-bit shingle hashes: minima of (a h + b) mod 2^31 - 1."""
-    rng = random.Random(seed)
-
-    def least(a: int, b: int) -> Column:
-        return F.array_min(F.transform(small, lambda h: F.pmod(h * a + b, F.lit(PRIME))))
+def minhash(sets: DataFrame, permutations: int = PERMUTATIONS, seed: int = 1, key: str = "doc_id", shingles: str = "s") -> DataFrame:
+    """key, signature of rows of key and an array of 64-bit hashes: minima of (a h + b) mod 2^31 - 1.
 
-    small = F.transform(shingles, lambda h: F.pmod(h, F.lit(PRIME)))
-    return F.array(*[least(rng.randrange(1, PRIME), rng.randrange(PRIME)) for _ in range(permutations)])
+    Exploded and aggregated: the minima run in generated code and are combined
+    before the shuffle, which carries a signature a key.
+    """
+    rng = random.Random(seed)
+    pairs = [(rng.randrange(1, PRIME), rng.randrange(PRIME)) for _ in range(permutations)]
+    rows = sets.select(key, F.explode(shingles).alias("h")).select(key, F.pmod("h", F.lit(PRIME)).alias("h"))
+    minima = rows.groupBy(key).agg(*[F.min(F.pmod(F.col("h") * a + b, F.lit(PRIME))).alias(f"m{i}") for i, (a, b) in enumerate(pairs)])
+    return minima.select(key, F.array(*[f"m{i}" for i in range(permutations)]).alias("signature"))
 
 
 def bands_and_rows(threshold: float, permutations: int = PERMUTATIONS) -> tuple[int, int]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -148,23 +147,26 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("double")
-def rouge_l_f1(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """F1 of the longest common subsequence of lower-case words; null for an empty reference."""
+def _rouge_l_f1(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for predictions, golds in pairs:
         out = []
         for p, g in zip(predictions, golds):
             a, b = (g or "").lower().split(), (p or "").lower().split()
             if not a:
-                out.append(np.nan)
+                out.append(None)
                 continue
             n = lcs_length(a, b) if b else 0
             out.append(2 * n / (len(a) + len(b)) if n else 0.0)
-        yield pd.Series(out, dtype="float64")
+        yield pd.Series(out, dtype="Float64")
+
+
+def rouge_l_f1(prediction: Column | str, gold: Column | str) -> Column:
+    """F1 of the longest common subsequence of lower-case words; null for an empty reference."""
+    return F.pandas_udf(_rouge_l_f1, "double")(prediction, gold)
 
 
 def rouge_l(rows: DataFrame) -> DataFrame:
-    scored = rows.select(rouge_l_f1("prediction", "gold").alias("f")).filter(~F.isnan("f") & F.col("f").isNotNull())
+    scored = rows.select(rouge_l_f1("prediction", "gold").alias("f")).filter("f is not null")
     return scored.agg(F.coalesce(F.avg("f"), F.lit(0.0)).alias("rouge_l"), _total().alias("n_valid"))
 
 

@@ -64,8 +64,7 @@ def pack(docs: DataFrame, length: int, eos: int, key: str = "doc_id", tokens: st
     rows = token_rows.union(eos_rows)
     seq = rows.withColumns({"seq": F.floor(F.col("at") / length).cast("long"), "p": F.col("at") % length})
     full = seq.groupBy("batch", "seq").agg(F.array_sort(F.collect_list(F.struct("p", "id", "is_eos"))).alias("x")).filter(F.size("x") == length)
-    mark = F.transform("x", lambda e: e["is_eos"])
-    labels = F.transform("x", lambda e, i: F.when(e["is_eos"] | F.coalesce(F.get(mark, i - 1) & (i > 0), F.lit(False)), F.lit(IGNORED).cast("long")).otherwise(e["id"]))
+    labels = F.transform("x", lambda e, i: F.when(e["is_eos"] | ((i > 0) & F.coalesce(F.get("x", i - 1)["is_eos"], F.lit(False))), F.lit(IGNORED).cast("long")).otherwise(e["id"]))
     return full.select("batch", "seq", F.transform("x", lambda e: e["id"]).alias("input_ids"), labels.alias("labels"))
 
 

@@ -178,13 +178,13 @@ def parse_entities(raw: Column) -> Column:
     """array of (start, label, text) from lines ENTIDADE: x | TIPO: y."""
 
     def entity(line: Column) -> Column:
-        parts = F.transform(F.split(line, r"\|"), strip)
+        parts = F.transform(F.split(line, r"\|"), lambda x: strip(x))
         value = lambda name: strip(F.regexp_extract(F.element_at(F.filter(parts, lambda p: F.startswith(F.upper(p), F.lit(name))), -1), r"(?s):(.*)", 1))
         has = lambda name: F.exists(parts, lambda p: F.startswith(F.upper(p), F.lit(name)))
         text, label = F.when(has("ENTIDADE:"), value("ENTIDADE:")).otherwise(""), F.when(has("TIPO:"), value("TIPO:")).otherwise("")
         return F.struct(F.lower(text).alias("start"), label.alias("label"), text.alias("text"))
 
-    lines = F.filter(F.transform(F.split(strip(raw), "\n"), strip), lambda x: F.contains(x, F.lit("|")) & F.contains(x, F.lit(":")))
+    lines = F.filter(F.transform(F.split(strip(raw), "\n"), lambda x: strip(x)), lambda x: F.contains(x, F.lit("|")) & F.contains(x, F.lit(":")))
     return F.filter(F.transform(lines, entity), lambda e: (e["text"] != "") & (e["label"] != ""))
 
 

@@ -105,7 +105,7 @@ query(
 def signatures(spark: SparkSession, d: str) -> DataFrame:
     w = docs(spark, d).select("doc_id", tx.words(F.lower("text")).alias("w")).filter(F.size("w") > 0)
     hashed = w.select("doc_id", F.transform(tx.ngrams(F.col("w"), 5), lambda g: F.xxhash64(g)).alias("s"))
-    return hashed.select("doc_id", dedup.minhash(F.col("s"), 64).alias("signature"))
+    return dedup.minhash(hashed, 64)
 
 
 query("minhash_signature")(signatures)  # hashes differ from SQL's

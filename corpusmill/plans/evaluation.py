@@ -6,6 +6,8 @@ clean (few special characters), each against labels.quality.
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,7 +179,7 @@ def task_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- I: statistics ---------------------------------------------------------
 
-Z = "1.959963984540054::DOUBLE"
+Z = f"{NormalDist().inv_cdf(1 - (1 - 0.95) / 2)!r}::DOUBLE"
 query(
     "wilson_by_source",
     f"WITH {SCORED}, c AS (SELECT source, count(*) FILTER (clean = gold) AS k, count(*)::BIGINT AS n FROM z GROUP BY source), w AS (SELECT source, k::DOUBLE / n AS p, n FROM c)"

@@ -58,9 +58,9 @@ query(
 def events_stream(spark: SparkSession, d: str) -> DataFrame:
     """The tumbling counts once more, by Structured Streaming; complete mode, so no window waits for a later event."""
     raw = events(spark, d)
-    live = spark.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    live = spark.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
     path = new_path(spark, "stream")
     sink = lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out")
     run = stream.tumbling_counts(live).writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+    return spark.read.parquet(f"{path}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -13,10 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.sources.workdir import materialize
+
 #: Means above this are split: whole parts become fixed copies, the rest is Poisson.
 MAX_MEAN = 16.0
 #: Terms of the distribution; beyond them less than 2^-53 is left at MAX_MEAN.
 TERMS = 72
+#: Rates of at most so many sources (600 bytes each) are broadcast.
+MAX_BROADCAST_SOURCES = 20_000
 
 
 def hash_number(*parts: Column | str, digits: int = 13) -> Column:
@@ -60,7 +64,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
     mean = F.col("_weight") / F.col("_all") * goal / F.col("_rows")
     # one row a source: the sums are one row, so this is no product of tables
     rates = shares.join(F.broadcast(sums), F.lit(True)).withColumn("_mean", mean).withColumn("_fixed", F.greatest(F.lit(0.0), F.ceil(F.col("_mean") - MAX_MEAN).cast("double")))
-    rates = rates.select("_source", F.col("_fixed").cast("long").alias("_fixed"), poisson_steps(F.col("_mean") - F.col("_fixed")).alias("_steps"))
+    rates = materialize(rates.select("_source", F.col("_fixed").cast("long").alias("_fixed"), poisson_steps(F.col("_mean") - F.col("_fixed")).alias("_steps")), "rates")
+    if rates.count() <= MAX_BROADCAST_SOURCES:
+        rates = F.broadcast(rates)  # else a plain join, whose hot sources Spark can split
     chance = hash_number(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit(""))) / F.lit(float(16**13))
     dealt = docs.join(rates, F.col(source).eqNullSafe(F.col("_source"))).withColumn("_u", chance)
     times = F.col("_fixed") + F.size(F.filter("_steps", lambda s: s <= F.col("_u")))

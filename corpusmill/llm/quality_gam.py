@@ -116,25 +116,43 @@ def _line_tree(g: np.ndarray, h: np.ndarray, leaves: int) -> np.ndarray:
     return out
 
 
-def _square_tree(g: np.ndarray, h: np.ndarray, depth: int = 2) -> tuple[np.ndarray, float]:
-    """Values of a tree over two features' bins, each split along either axis; and its gain."""
+def _best_cut(g: np.ndarray, h: np.ndarray) -> tuple[float, int | None, int]:
+    """Score of the two parts of the best cut of a grid along either axis, the axis and the place."""
     score = lambda a, b: a * a / (b + RIDGE)
-    total = score(g.sum(), h.sum())
-    flat = np.full(g.shape, -g.sum() / (h.sum() + RIDGE))
-    if not depth:
-        return flat, total
-    best = (1e-9, None, None)
+    G, H = g.sum(), h.sum()
+    best = (float(score(G, H)), None, 0)
     for axis in (0, 1):
         cg, ch = np.cumsum(g.sum(1 - axis))[:-1], np.cumsum(h.sum(1 - axis))[:-1]
         if len(cg):
-            won = score(cg, ch) + score(g.sum() - cg, h.sum() - ch) - total
+            won = score(cg, ch) + score(G - cg, H - ch)
             at = int(np.argmax(won))
-            best = max(best, (float(won[at]), axis, at + 1), key=lambda x: x[0])
-    if best[1] is None:
-        return flat, total
-    halves = [np.split(x, [best[2]], axis=best[1]) for x in (g, h)]
-    parts = [_square_tree(a, b, depth - 1) for a, b in zip(*halves)]
-    return np.concatenate([p[0] for p in parts], axis=best[1]), sum(p[1] for p in parts)
+            if won[at] > best[0] + 1e-9:
+                best = float(won[at]), axis, at + 1
+    return best
+
+
+def _square_tree(g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, float]:
+    """Values of a tree of depth two over two features' bins, and its score.
+
+    The first cut is the one whose halves, cut once more, score best: of an
+    interaction without main effects no single cut shows anything.
+    """
+    best = None
+    for axis in (0, 1):
+        for at in range(1, g.shape[axis]):
+            halves = [np.split(x, [at], axis=axis) for x in (g, h)]
+            cuts = [_best_cut(a, b) for a, b in zip(*halves)]
+            if best is None or sum(c[0] for c in cuts) > best[0]:
+                best = sum(c[0] for c in cuts), axis, halves, cuts
+    leaf = lambda a, b: np.full(a.shape, -a.sum() / (b.sum() + RIDGE))
+    if best is None:
+        return leaf(g, h), 0.0
+    total, axis, halves, cuts = best
+    sides = []
+    for a, b, (_, across, at) in zip(*halves, cuts):
+        parts = [(a, b)] if across is None else list(zip(np.split(a, [at], axis=across), np.split(b, [at], axis=across)))
+        sides.append(np.concatenate([leaf(*p) for p in parts], axis=across or 0))
+    return np.concatenate(sides, axis=axis), total
 
 
 class AdditiveModel:
@@ -167,7 +185,7 @@ class AdditiveModel:
             p, cell = 1 / (1 + np.exp(-margin)), coarse[i] * shape[1] + coarse[j]
             return cell, [np.bincount(cell, w, shape[0] * shape[1]).reshape(shape) for w in (p - y, p * (1 - p))]
 
-        gains = sorted(((_square_tree(*grid(i, j)[1])[1], i, j) for i in range(len(FEATURES)) for j in range(i)), reverse=True)[:PAIRS]
+        gains = sorted(((round(_square_tree(*grid(i, j)[1])[1], 6), i, j) for i in range(len(FEATURES)) for j in range(i)), reverse=True)[:PAIRS]
         self.pairs = [(i, j, np.zeros((len(self.pair_cuts[i]) + 1, len(self.pair_cuts[j]) + 1))) for _, i, j in gains]
         for _ in range(PAIR_ROUNDS):
             for i, j, table in self.pairs:

@@ -186,3 +186,13 @@ def seed_intervals(scores: DataFrame, group: list[str], value: str = "score", le
             q = F.when(F.col("n_seeds") == n, t_quantile(level, n - 1)).otherwise(q)
     half = q * F.col("std") / F.sqrt("n_seeds")
     return t.withColumns({"ci_lower": F.col("mean") - half, "ci_upper": F.col("mean") + half})
+
+
+def metric_interval(metrics: DataFrame, items: DataFrame, draws: int = 2000, level: float = 0.95) -> DataFrame | None:
+    """Wilson's interval if the metric counts correct answers, else a bootstrap for five items or more, else none."""
+    if {"n_correct", "n_total"} <= set(metrics.columns):
+        point, low, high = wilson(F.col("n_correct"), F.col("n_total"), level)
+        return metrics.select(point.alias("mean"), low.alias("ci_lower"), high.alias("ci_upper"))
+    if items.limit(5).count() < 5:
+        return None
+    return bootstrap_ci(items, draws, level).select("mean", "ci_lower", "ci_upper")

@@ -347,3 +347,8 @@ def option_set(n_options: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n_options - 1), letter)
 
 
+
+
+def gold_options(rows: DataFrame, gold: str = "gold") -> list[str]:
+    """For tasks without options: the distinct gold labels in order; a task has few."""
+    return [r[0] for r in rows.select(F.col(gold).cast("string")).distinct().orderBy(gold).collect()]

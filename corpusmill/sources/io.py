@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +40,11 @@ def cap(rows: DataFrame, n: int | None, key: str) -> DataFrame:
     return rows if n is None else rows.orderBy(key).limit(n)
 
 
+def prefix_sample(rows: DataFrame, n: int, key: str, text: str = "text") -> DataFrame:
+    """The first n rows; empty texts count for n and are dropped after."""
+    return rows.orderBy(key).limit(n).filter(F.col(text) != "")
+
+
 def save_manifest(rows: DataFrame, path: str, kind: str = "parquet") -> None:
     rows.write.mode("overwrite").format(kind).save(path)
 
@@ -49,10 +53,10 @@ def load_manifest(spark: SparkSession, path: str, schema: str | None = None) ->
     """Parquet, or else JSON lines."""
     if not exists(spark, path):
         raise FileNotFoundError(path)
-    try:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/*.parquet")
+    if len(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)):
         return spark.read.parquet(path)
-    except AnalysisException:
-        return (spark.read.schema(schema) if schema else spark.read).json(path)
+    return (spark.read.schema(schema) if schema else spark.read).json(path)
 
 
 def save_splits(splits: DataFrame, path: str) -> None:

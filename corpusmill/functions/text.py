@@ -48,7 +48,8 @@ def ngrams(w: Column, n: int) -> Column:
         places = F.sequence(F.lit(1), F.greatest(F.size(x) - n + 1, F.lit(1)))
         return F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice(x, i, n), " ")))
 
-    return let(w, runs)
+    # slicing an array of a stored row unpacks all of it each time; that of a function's result does not
+    return let(F.transform(w, lambda x: x), runs)
 
 
 def exact_hash(text: Column) -> Column:

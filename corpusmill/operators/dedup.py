@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,14 +73,24 @@ def near_duplicate_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int =
 def minhash(sets: DataFrame, permutations: int = PERMUTATIONS, seed: int = 1, key: str = "doc_id", shingles: str = "s") -> DataFrame:
     """key, signature of rows of key and an array of 64-bit hashes: minima of (a h + b) mod 2^31 - 1.
 
-    Exploded and aggregated: the minima run in generated code and are combined
-    before the shuffle, which carries a signature a key.
+    Arrow batches: one matrix operation for a block of a document's shingles.
     """
     rng = random.Random(seed)
-    pairs = [(rng.randrange(1, PRIME), rng.randrange(PRIME)) for _ in range(permutations)]
-    rows = sets.select(key, F.explode(shingles).alias("h")).select(key, F.pmod("h", F.lit(PRIME)).alias("h"))
-    minima = rows.groupBy(key).agg(*[F.min(F.pmod(F.col("h") * a + b, F.lit(PRIME))).alias(f"m{i}") for i, (a, b) in enumerate(pairs)])
-    return minima.select(key, F.array(*[f"m{i}" for i in range(permutations)]).alias("signature"))
+    a, b = (np.array([rng.randrange(1, PRIME) for _ in range(permutations)], dtype=np.uint64) for _ in range(2))
+
+    def sign(hashes) -> list[int]:
+        small = np.asarray(hashes, dtype=np.int64) % PRIME
+        least = np.full(permutations, PRIME, dtype=np.uint64)
+        for lo in range(0, len(small), 4096):
+            block = small[lo : lo + 4096, None].astype(np.uint64)
+            least = np.minimum(least, ((block * a + b) % np.uint64(PRIME)).min(0))
+        return least.astype(np.int64).tolist()
+
+    def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({key: batch[key], "signature": [sign(x) for x in batch[shingles]]})
+
+    return sets.select(key, shingles).mapInPandas(signatures, f"{key} {sets.schema[key].dataType.simpleString()}, signature array<bigint>")
 
 
 def bands_and_rows(threshold: float, permutations: int = PERMUTATIONS) -> tuple[int, int]:

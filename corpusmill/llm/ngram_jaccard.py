@@ -153,7 +153,7 @@ def _needed(num: int, den: int):
 def _passes(num: int, den: int):
     """Length filter, and positional filter for a first common shingle."""
     length = f"{den} * least(a_n, b_n) >= {num} * greatest(a_n, b_n)"
-    position = f"({num + den}) * (1 + least(a_n - a_pos, b_n - b_pos) - 1) >= {num} * (a_n + b_n)"
+    position = f"{num + den} * least(a_n - a_pos, b_n - b_pos) >= {num} * (a_n + b_n)"
     return F.expr(f"({length}) and ({position})")
 
 

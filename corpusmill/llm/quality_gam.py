@@ -6,8 +6,8 @@ of features that explain most of what is left get small trees over two
 features each, added to two-dimensional tables.  A score is the logistic of an
 intercept plus one table entry for every feature and pair.
 
-Features come from the text alone.  They are computed once, in one pass over
-the documents; training collects a bounded sample of labelled feature rows.
+Features come from the text alone.  Training collects a bounded sample of
+labelled feature rows; scoring makes the features where a text is read.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.wordhash import tables, text_bytes, word_hashes
-from corpusmill.sources.workdir import materialize
 
 FEATURES = (
     "log_bytes upper digits symbols bangs stops commas newlines word_length long_words distinct_words top_word "
@@ -74,17 +73,6 @@ def features(a: np.ndarray) -> np.ndarray:
     return out
 
 
-def _feature_rows(batches):
-    for batch in batches:
-        rows = [features(text).tobytes() for text in text_bytes(batch.column(1))]
-        yield pa.record_batch([batch.column(0), pa.array(rows, pa.binary())], ["doc_id", "features"])
-
-
-def feature_table(docs: DataFrame) -> DataFrame:
-    kind = "doc_id long, features binary"
-    return materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_feature_rows, kind), "features")
-
-
 def _matrix(rows: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(rows), dtype=np.float32).reshape(-1, len(FEATURES))
 
@@ -208,15 +196,30 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def train(feature_rows: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAINING_ROWS) -> AdditiveModel:
-    """Fit on labelled rows outside the held-out third, at most max_rows of them (smallest hashes of doc_id)."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAINING_ROWS) -> AdditiveModel:
+    """Fit on labelled rows outside the held-out third, at most max_rows of them (smallest hashes of doc_id).
+
+    The chosen labels, max_rows at most, are broadcast, so that texts are
+    filtered where they are read; features are made for them alone.
+    """
     marked = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
-    rows = chosen.join(feature_rows, "doc_id").select("doc_id", "features", "y").orderBy("doc_id", "y", "features").limit(max_rows).collect()
+
+    def feature_rows(batches):
+        for batch in batches:
+            rows = [features(text).tobytes() for text in text_bytes(batch.column(1))]
+            yield pa.record_batch([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], ["doc_id", "features", "y"])
+
+    sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    rows = sample.select("doc_id", "text", "y").mapInArrow(feature_rows, "doc_id long, features binary, y int").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "features").limit(max_rows).collect()
     x = _matrix([bytes(r["features"]) for r in rows])
     return AdditiveModel(x, np.array([r["y"] for r in rows], dtype=np.int64))
 
 
+def _scored(model, batch: pa.RecordBatch, at: int) -> np.ndarray:
+    return model.value.score(np.array([features(text) for text in text_bytes(batch.column(at))], dtype=np.float32).reshape(-1, len(FEATURES)))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of documents(doc_id, text).
 
@@ -225,15 +228,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINI
     there are none).  Null doc_ids are scored, are never training rows and have
     held_out false; repeated rows are scored each; other columns are ignored.
     """
-    rows = feature_table(docs)
-    model = rows.sparkSession.sparkContext.broadcast(train(rows, labels, max_rows=max_rows))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_rows=max_rows))
 
     def scored(batches):
         for batch in batches:
-            x = _matrix([bytes(v) for v in batch.column(1).to_pylist()])
-            yield pa.record_batch([batch.column(0), pa.array(model.value.score(x), pa.float64())], ["doc_id", "score"])
+            yield pa.record_batch([batch.column(0), pa.array(_scored(model, batch, 1), pa.float64())], ["doc_id", "score"])
 
-    out = rows.select("doc_id", "features").mapInArrow(scored, "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scored, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -243,13 +244,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFra
     Texts are scored where they are, without a join.  Null and empty texts are
     judged like any other text.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(feature_table(docs), labels))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     at = docs.columns.index("text")
 
     def kept(batches):
         for batch in batches:
             if batch.num_rows:
-                x = np.array([features(text) for text in text_bytes(batch.column(at))])
-                yield batch.filter(pa.array(model.value.score(x) >= least))
+                yield batch.filter(pa.array(_scored(model, batch, at) >= least))
 
     return docs.mapInArrow(kept, docs.schema)

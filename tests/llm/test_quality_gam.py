@@ -50,10 +50,8 @@ def test_labels_of_the_held_out_third_are_not_learnt(spark):
 
 
 def test_the_sample_is_bounded(spark):
-    from corpusmill.llm.quality_gam import feature_table
-
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    assert train(feature_table(docs), labels, max_rows=5).base == pytest.approx(np.log(5.5 / 0.5), abs=3)
+    assert train(docs, labels, max_rows=5).base == pytest.approx(np.log(5.5 / 0.5), abs=3)
 
 
 def test_features_are_finite():

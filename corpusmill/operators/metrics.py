@@ -185,7 +185,7 @@ REGISTRY: dict[str, Callable[..., DataFrame]] = {
     "pearson": correlations,
     "refusal_rate": refusal_rate,
     "rouge_l": rouge_l,
-    "entity_micro_f1": entity_micro_f1,
+    "entity_micro_f1": lambda rows: entity_micro_f1(rows).withColumn("entity_micro_f1", F.col("micro_f1")),
     "boolq_accuracy": lambda rows: boolq_accuracy(rows).withColumn("boolq_accuracy", F.col("accuracy")),
     "rubric_score": rubric_score,
 }

@@ -177,6 +177,69 @@ def task_prompts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("item_id", tasks.task_prompt(rows, "enem").alias("prompt"))
 
 
+# task: (raw schema, raw row, normal row as JSON)
+ADAPTED = {
+    "enem": ("question string, alternatives array<string>, label string", ("Qual?", ["x", "y"], "B"), '{"question":"Qual?","options":["x","y"],"answer":"B"}'),
+    "bluex": ("question string, choices struct<text:array<string>,label:array<string>>, answerKey string", ("Q", (["y", "x"], ["B", "A"]), "B"), '{"question":"Q","options":["x","y"],"answer":"B"}'),
+    "oab_bench": ("question string, choices struct<text:array<string>,label:array<string>>, answerKey string", ("O", (["z"], ["A"]), "A"), '{"question":"O","options":["z"],"answer":"A"}'),
+    "arc_en": ("question string, choices struct<text:array<string>,label:array<string>>, answerKey string", ("R", (["z"], ["A"]), "A"), '{"question":"R","options":["z"],"answer":"A"}'),
+    "copa_pt": ("premise string, choice1 string, choice2 string, question string, label int", ("p", "a", "b", "effect", 0), '{"question":"p portanto...","options":["a","b"],"answer":"A"}'),
+    "broverbs": ("input string, alternatives array<string>, correct_index int", ("i", ["a", "b"], 1), '{"question":"i","options":["a","b"],"answer":"B"}'),
+    "math_pt": ("problem string, choices map<string,string>, answer string", ("m", {"B": "2", "A": "1"}, "A"), '{"question":"m","options":["1","2"],"answer":"A"}'),
+    "legalbench_br": ("sentence string, label int", ("s", 1), '{"question":"s","options":["O pedido foi negado (improcedente).","O pedido foi parcialmente provido.","O pedido foi provido (procedente)."],"answer":"B"}'),
+    "mmlu_en": ("question string, choices array<string>, answer int", ("q", ["a", "b", "c"], 2), '{"question":"q","options":["a","b","c"],"answer":"C"}'),
+    "hellaswag_en": ("ctx string, ctx_a string, ctx_b string, endings array<string>, label string", ("", "a", "b", ["x"], "0"), '{"question":"a b","options":["x"],"answer":"A"}'),
+    "assin2_rte": ("premise string, hypothesis string, entailment_judgment int", ("p", "h", 1), '{"premise":"p","hypothesis":"h","label":"entailment"}'),
+    "rte_pt": ("premise string, hypothesis string, label int", ("p", "h", 1), '{"premise":"p","hypothesis":"h","label":"not_entailment"}'),
+    "mrpc_pt": ("sentence1 string, sentence2 string, label int", ("a", "b", 1), '{"sentence1":"a","sentence2":"b","label":"sim"}'),
+    "assin2_sts": ("premise string, hypothesis string, relatedness_score double", ("p", "h", None), '{"sentence1":"p","sentence2":"h","score":3.0}'),
+    "hatebr": ("instagram_comments string, offensive_language boolean", ("t", False), '{"text":"t","label":"nao_odio"}'),
+    "tweet_sentbr": ("sentence string, label string", ("t", " Negative"), '{"text":"t","label":"negativo"}'),
+    "publichearing_br": ("transcricao string, metadados struct<assunto:string>, materia string", ("t", (" Saúde ",), "m"), '{"text":"t","label":"saúde","summary":"m"}'),
+    "boolq_pt": ("passage string, question string, label int", ("p", "q", 0), '{"passage":"p","question":"q","answer":false}'),
+    "lener_br": ("id string, tokens array<string>, ner_tags array<string>", ("1", ["a", "b"], ["O", "B-X"]), '{"id":"1","tokens":["a","b"],"ner_tags":["O","B-X"],"text":"a b"}'),
+    "xlsum_pt": ("text string, summary string", ("t", "s"), '{"text":"t","summary":"s"}'),
+    "donotanswer_pt": ("question string, category string", ("q", "c"), '{"question":"q","category":"c","expected_behavior":"refuse"}'),
+}
+
+
+@query("task_adapters", "SELECT * FROM (VALUES " + ", ".join(f"({sql.q(t)}, {sql.q(j)})" for t, (_, _, j) in ADAPTED.items()) + ") AS v(task, normal)")
+def task_adapters(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for task, (schema, row, _) in ADAPTED.items():
+        one = tasks.ADAPTERS[task](spark.createDataFrame([row], schema)).select(F.lit(task).alias("task"), F.to_json(F.struct("*")).alias("normal"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+# task: (schema, example, its text with the answer)
+SHOWN = {
+    "enem": ("question string, options array<string>, answer string", ("Qual?", ["x", "y"], "B"), "Pergunta: Qual?\nA) x\nB) y\nResposta: B"),
+    "assin2_sts": ("sentence1 string, sentence2 string, score double", ("a", "b", 4.5), "Sentença 1: a\nSentença 2: b\nNota: 4.5"),
+    "rte_pt": ("premise string, hypothesis string, label string", ("p", "h", "entailment"), "Premissa: p\nHipótese: h\nResposta: entailment"),
+    "mrpc_pt": ("sentence1 string, sentence2 string, label string", ("a", "b", "sim"), "Premissa: a\nHipótese: b\nResposta: sim"),
+    "hatebr": ("text string, label string", ("t", "odio"), "Texto: t\nClassificação: odio"),
+    "xlsum_pt": ("text string, summary string", ("t", "s"), "Texto: t\nResumo: s"),
+    "boolq_pt": ("passage string, question string, answer boolean", ("p", "q", False), "Texto: p\n\nPergunta: q\nResposta: não"),
+    "lener_br": ("text string, entities array<struct<text:string,label:string>>", ("t", [("Ana", "PESSOA")]), "Texto: t\nEntidades:\nENTIDADE: Ana | TIPO: PESSOA"),
+}
+
+
+@query("prompt_shapes", "SELECT * FROM (VALUES " + ", ".join(f"({sql.q(t)}, {sql.q(x)})" for t, (_, _, x) in SHOWN.items()) + ") AS v(task, shown)")
+def prompt_shapes(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for task, (schema, row, _) in SHOWN.items():
+        rows = spark.createDataFrame([row], schema)
+        one = rows.select(F.lit(task).alias("task"), tasks.example_text(rows, task, with_answer=True).alias("shown"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+query(
+    "few_shot_split",
+    "WITH n AS (SELECT count(*) AS n FROM benchmark), r AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS i FROM benchmark) SELECT item_id, i <= 5 AND n > 15 AS is_shot FROM r, n",
+)(lambda s, d: (p := tasks.few_shot_split(table(s, d, "benchmark"), 5, "item_id"))[0].select("item_id", F.lit(True).alias("is_shot")).union(p[1].select("item_id", F.lit(False))))
+
 # ---- I: statistics ---------------------------------------------------------
 
 Z = f"{NormalDist().inv_cdf(1 - (1 - 0.95) / 2)!r}::DOUBLE"

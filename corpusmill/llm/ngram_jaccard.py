@@ -260,5 +260,6 @@ def keep_one_per_component(docs: DataFrame, n: int = 5, num: int = 80, den: int
     if the component bears that doc_id.
     """
     found = similarity_components(docs, n, num, den)
-    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    # written first: of a table whose size is known Spark sees whether it can be broadcast, which spares the texts a shuffle
+    gone = materialize(found.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

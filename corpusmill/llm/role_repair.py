@@ -16,7 +16,7 @@ conversation is spread over the cluster.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,41 +125,80 @@ def _open(state: int) -> str:
 
 
 CLOSE = "<|end|>\n"
-_SORT = ["turn", "role", "text"]
-
-
-def _matrices(piece: pd.DataFrame) -> pd.DataFrame:
-    roles = [known_role(r) for r in piece.sort_values(_SORT, na_position="first", kind="stable")["role"]]
-    matrix = [c for begin in range(4) for c in solve(roles, begin)[0]]
-    return pd.DataFrame({"conv_id": [piece["conv_id"].iloc[0]], "piece": [piece["piece"].iloc[0]], "matrix": [matrix]})
-
-
-def _borders(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("piece")
-    least, border = chain([[list(m[4 * a : 4 * a + 4]) for a in range(4)] for m in rows["matrix"]])
-    last = [False] * (len(rows) - 1) + [True]
-    return pd.DataFrame({"conv_id": rows["conv_id"], "piece": rows["piece"], "begin": border[:-1], "end": border[1:], "last": last, "cost": least})
-
-
-def _render(piece: pd.DataFrame) -> pd.DataFrame:
-    piece = piece.sort_values(_SORT, na_position="first", kind="stable").reset_index(drop=True)
-    state, out = int(piece["begin"].iloc[0]), []
-    ways = trace([known_role(r) for r in piece["role"]], state, int(piece["end"].iloc[0]))
-    for i, ((target, action, via), text) in enumerate(zip(ways, piece["text"])):
-        text = text if isinstance(text, str) else ""
-        if action == "merge":
-            shown = "\n\n" + text
-        else:
-            shown = "" if state == START else CLOSE
-            shown += "".join(_open(s) + CLOSE for s in via) + _open(target) + text
-        after = ()
-        if i == len(ways) - 1 and piece["last"].iloc[0]:
-            after = closing(target)
-            shown += CLOSE + "".join(_open(s) + CLOSE for s in after)
-        relabelled = known_role(piece["role"].iloc[i]) != target
-        out.append((piece["conv_id"].iloc[i], i, piece["turn"].iloc[i], piece["role"].iloc[i], ROLES[target - 1], action, relabelled, len(via) + len(after), shown, int(piece["cost"].iloc[i])))
-        state = target
-    return pd.DataFrame(out, columns=["conv_id", "at", "turn", "role", "new_role", "action", "relabelled", "inserted", "rendered", "cost"]).assign(piece=piece["piece"].iloc[0])
+
+
+def _groups(batches):
+    """(key, rows) of runs of equal first two columns, from sorted Arrow batches; one run is held at a time."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if rows and row[:2] != key:
+                yield key, rows
+                rows = []
+            key = row[:2]
+            rows.append(row)
+    if rows:
+        yield key, rows
+
+
+def _batches(rows, schema: pa.Schema, most: int = 2000):
+    """Arrow batches of bounded size from tuples."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, str))
+        if len(held) >= most or size > 4 << 20:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
+_MATRIX = pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("matrix", pa.list_(pa.int64()))])
+_BORDER = pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("last", pa.bool_()), ("cost", pa.int64())])
+_TURN = pa.schema(
+    [("conv_id", pa.int64()), ("at", pa.int32()), ("turn", pa.int64()), ("role", pa.string()), ("new_role", pa.string()), ("action", pa.string())]
+    + [("relabelled", pa.bool_()), ("inserted", pa.int32()), ("rendered", pa.string()), ("cost", pa.int64()), ("piece", pa.int64())]
+)
+
+
+def _matrices(batches):
+    """conv_id, piece, role rows in order: the matrix of each piece."""
+    rows = ((*key, [c for begin in range(4) for c in solve([known_role(r[2]) for r in rows], begin)[0]]) for key, rows in _groups(batches))
+    yield from _batches(rows, _MATRIX)
+
+
+def _borders(batches):
+    """conv_id, conv_id, piece, matrix rows in order: the states in which each piece begins and ends."""
+
+    def rows():
+        for (conv, _), pieces in _groups(batches):
+            least, border = chain([[r[3][4 * a : 4 * a + 4] for a in range(4)] for r in pieces])
+            for i, r in enumerate(pieces):
+                yield conv, r[2], border[i], border[i + 1], i == len(pieces) - 1, least
+
+    yield from _batches(rows(), _BORDER)
+
+
+def _render(batches):
+    """conv_id, piece, kind, begin, end, last, cost, turn, role, text: a border row, then the piece's turns."""
+
+    def rows():
+        for (conv, piece), found in _groups(batches):
+            (_, _, _, state, end, last, cost, *_), turns = found[0], found[1:]
+            ways = trace([known_role(r[8]) for r in turns], state, end)
+            for i, ((target, action, via), (*_, turn, role, text)) in enumerate(zip(ways, turns)):
+                if action == "merge":
+                    shown = "\n\n" + (text or "")
+                else:
+                    shown = ("" if state == START else CLOSE) + "".join(_open(s) + CLOSE for s in via) + _open(target) + (text or "")
+                after = closing(target) if last and i == len(ways) - 1 else ()
+                if last and i == len(ways) - 1:
+                    shown += CLOSE + "".join(_open(s) + CLOSE for s in after)
+                yield conv, i, turn, role, ROLES[target - 1], action, known_role(role) != target, len(via) + len(after), shown, cost, piece
+                state = target
+
+    yield from _batches(rows(), _TURN)
 
 
 def repair_turns(turns: DataFrame, piece: int = PIECE) -> DataFrame:
@@ -176,14 +215,21 @@ def repair_turns(turns: DataFrame, piece: int = PIECE) -> DataFrame:
     repeated with the same turn are turns of their own; rows with a null
     conv_id make up a conversation; other columns are ignored; an empty table
     gives an empty result.
+
+    Three exchanges: roles by piece, matrices by conversation, and turns with
+    their piece's borders by piece; the tasks read sorted rows as a stream.
     """
     cut = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).withColumn("piece", F.coalesce(F.floor(F.col("turn") / piece), F.lit(-(2**62))).cast("long"))
-    slim = cut.select("conv_id", "piece", "turn", "role", F.lit(None).cast("string").alias("text"))
-    matrices = slim.groupBy("conv_id", "piece").applyInPandas(_matrices, "conv_id long, piece long, matrix array<long>")
-    borders = matrices.groupBy("conv_id").applyInPandas(_borders, "conv_id long, piece long, begin int, end int, last boolean, cost long")
-    joined = cut.join(borders.withColumnsRenamed({"conv_id": "_c", "piece": "_p"}), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("piece") == F.col("_p"))).drop("_c", "_p")
+    roles = cut.select("conv_id", "piece", "turn", "role").repartition("conv_id", "piece").sortWithinPartitions("conv_id", "piece", "turn", "role")
+    matrices = roles.select("conv_id", "piece", "role").mapInArrow(_matrices, "conv_id long, piece long, matrix array<long>")
+    per_conversation = matrices.repartition("conv_id").sortWithinPartitions("conv_id", "piece").select("conv_id", F.col("conv_id").alias("same"), "piece", "matrix")
+    borders = per_conversation.mapInArrow(_borders, "conv_id long, piece long, begin int, end int, last boolean, cost long")
+    none = lambda kind: F.lit(None).cast(kind)
+    heads = borders.select("conv_id", "piece", F.lit(0).alias("kind"), "begin", "end", "last", "cost", none("long").alias("turn"), none("string").alias("role"), none("string").alias("text"))
+    bodies = cut.select("conv_id", "piece", F.lit(1).alias("kind"), none("int").alias("begin"), none("int").alias("end"), none("boolean").alias("last"), none("long").alias("cost"), "turn", "role", "text")
+    both = heads.union(bodies).repartition("conv_id", "piece").sortWithinPartitions("conv_id", "piece", "kind", "turn", "role", "text")
     kind = "conv_id long, at int, turn long, role string, new_role string, action string, relabelled boolean, inserted int, rendered string, cost long, piece long"
-    return joined.groupBy("conv_id", "piece").applyInPandas(_render, kind)
+    return both.mapInArrow(_render, kind)
 
 
 def render_conversations(repaired: DataFrame) -> DataFrame:

@@ -64,12 +64,13 @@ class BallTree:
             rows = slice(self.low[node], self.high[node])
             scores, ids = self.points[rows] @ query, self.ids[rows]
             at = np.flatnonzero(scores >= best[0][0]) if len(best) == k else np.arange(len(ids))
-            if len(at) > 4 * k:  # the k largest, with all ties of the last
-                cut = np.partition(scores[at], len(at) - k)[len(at) - k]
-                at = at[scores[at] >= cut]
+            at = at[ids[at] != query_id]
+            if len(at) > 4 * k:  # the largest, of different rows: enough for k even if all of best are among them
+                at = at[np.lexsort((ids[at], -scores[at]))]
+                at = at[np.append(True, (np.diff(scores[at]) != 0) | (np.diff(ids[at]) != 0))][: k + len(best)]
             for score, number in sorted(zip(scores[at].tolist(), (-ids[at]).tolist()), reverse=True):
                 entry = (score, number)
-                if -number == query_id or entry in best:
+                if entry in best:
                     continue
                 if len(best) < k:
                     heapq.heappush(best, entry)

@@ -47,3 +47,25 @@ def test_tree_prunes_and_stays_exact():
     tree.search(-1, points[7], 3, best)
     scores = points @ points[7]
     assert sorted(-b[1] for b in best) == sorted(np.lexsort((np.arange(len(scores)), -scores))[:3])
+
+
+def test_neighbours_in_the_leaf_of_the_query(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for centre in rng.normal(0, 1, (2, 16)):
+        for x in centre + rng.normal(0, 0.3, (50, 16)):  # 100 unit vectors: one leaf, the own row scores in its top 5
+            rows.append((len(rows), [float(np.float32(c)) for c in x / np.linalg.norm(x)]))
+    for copies in (1, 30):  # many rows of one neighbour count once as well
+        table = rows + [rows[1]] * (copies - 1) + [rows[0]] * (copies - 1)
+        df = spark.createDataFrame(table, "vec_id long, embedding array<float>").coalesce(1)
+        vectors = integer_vectors(df, "vec_id", "embedding", 256)
+        got = sorted(tuple(r) for r in top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5).collect())
+        assert len(got) == 10 and got == brute(table, 5)
+
+
+def test_best_of_an_earlier_tree_does_not_crowd_out_new_rows():
+    points = np.ones((40, 1)) * np.arange(40, 0, -1)[:, None]
+    best = []
+    for ids in (np.arange(5), np.arange(40)):  # the second tree has the rows of the first again
+        exact_topk.BallTree(ids, points[ids]).search(0, np.ones(1), 5, best)
+    assert sorted(-b[1] for b in best) == [1, 2, 3, 4, 5]

@@ -1,7 +1,7 @@
 """License scans: canonical digest lookup of entire texts.  DataFrame functions only.
 
 A text is brought to a canonical form (case, equivalent spellings, copyright
-lines, punctuation, white space) and the SHA-256 of the form is looked up among
+notices, punctuation, white space) and the SHA-256 of the form is looked up among
 the digests of known licences with a hash join.  Only whole texts match; a
 licence inside a longer text has another digest.
 """
@@ -29,8 +29,22 @@ SPELLINGS = (
     (r"https?://", "//"),
     (r"\ball rights reserved\b", " "),
 )
+#: The rule of the SQL twin, whose engine has no look-around.
 COPYRIGHT_LINE = r"(?m)^[\s#*/;%-]*(copyright|\(c\)|©).*$"
 
+# Copyright notices, not the mere word.  Holders have 300 characters at most, without a blank line.
+_NO_NOTICE = r"(?![\s#*/;%-]+(?:holders?|owners?|notices?|laws?|licen[cs]es?|statements?|interests?|protection|disclaimers?|and|or|in|of|is|are|to|for)\b)"
+_MARK = rf"(?>\bcopyright\b{_NO_NOTICE}[\s:#*/;%-]*(?:\(c\)|©)?|(?:\(c\)|©)[\s#*/;%-]*(?:copyright\b)?)"
+_BODY = r"permission[\s#*/;%-]+is[\s#*/;%-]+hereby[\s#*/;%-]+granted|permission[\s#*/;%-]+to[\s#*/;%-]+use|redistribution[\s#*/;%-]+and[\s#*/;%-]+use|(?:mit|isc|bsd[\s#*/;%-]+[23]-clause)[\s#*/;%-]+licen[cs]e|(?:this[\s#*/;%-]+work[\s#*/;%-]+is[\s#*/;%-]+)?licen[cs]ed[\s#*/;%-]+under|released[\s#*/;%-]+under"
+_HOLDER = rf"(?s:(?!\n[^\S\n]*\n|{_MARK}|\b(?:may|must|shall|not|is|are|you|any|use)\b).){{0,300}}?"
+_YEAR = r"[\s:,]*(?:by\s+)?(?:\d{4}|[<\[{])"
+NOTICES = (
+    # one or more, up to words that begin a licence, wherever lines break
+    rf"(?:{_MARK}{_HOLDER}(?:\n[^\S\n]*\n\s*)?+){{1,16}}[\s#*/;%-]*(?=\b(?:{_BODY})\b)",
+    # others: the rest of a line that begins with a sign or a year, or of a paragraph's first line
+    rf"(?m)(?:^[\s#*/;%-]*(?:copyright\s*(?:\(c\)|©)|copyright{_YEAR}|\(c\)\s*(?:copyright\b|\d{{4}})|©)|(?:\A|(?<=\n)[^\S\n]*\n)[\s#*/;%-]*copyright\b{_NO_NOTICE}).{{0,300}}$",
+)
+
 # Public licence texts and notices.
 _MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
@@ -92,8 +106,8 @@ LICENSES = (
 
 def canonical(text: Column) -> Column:
     """The canonical form; null stays null."""
-    form = F.regexp_replace(F.translate(F.lower(text), "‘’“”", "''\"\""), COPYRIGHT_LINE, " ")
-    for pattern, plain in SPELLINGS:
+    form = F.translate(F.lower(text), "‘’“”", "''\"\"")
+    for pattern, plain in (*((notice, " ") for notice in NOTICES), *SPELLINGS):
         form = F.regexp_replace(form, pattern, plain)
     return F.trim(F.regexp_replace(form, r"[^\p{L}\p{N}]+", " "))
 

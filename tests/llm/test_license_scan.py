@@ -1,3 +1,5 @@
+import textwrap
+
 from corpusmill.llm.license_scan import LICENSES, digest, scan_licenses
 from pyspark.sql import functions as F
 
@@ -22,3 +24,30 @@ def test_given_licenses_and_empty_tables(spark):
     assert {r["doc_id"]: r["license_id"] for r in scan_licenses(docs, own).collect()} == {1: "own", 2: None}
     assert scan_licenses(docs.limit(0)).collect() == []
     assert [r["license_id"] for r in scan_licenses(docs, own.limit(0)).collect()] == [None, None]
+
+
+def test_licenses_at_other_widths(spark):
+    rows = []
+    for name, text in LICENSES:
+        for holder in ("2024 Someone", "2011-2024 The Regents of X, Inc. <a@b.c>\nCopyright 2009 A. Person. All rights reserved."):
+            own = text.replace("2024, Someone", "2024 Someone").replace("2024 Someone", holder)
+            for width in (25, 40, 60, 72, 79, 100, 10**6):
+                rows.append((len(rows), name, "\n\n".join(textwrap.fill(x, width) for x in own.split("\n\n"))))
+                rows.append((len(rows), name, textwrap.fill(own, width)))
+                rows.append((len(rows), name, textwrap.indent(rows[-1][2], "# ", lambda _: True)))
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, name string, text string"))
+    found = {r["doc_id"]: r["license_id"] for r in got.collect()}
+    assert [(name, text) for key, name, text in rows if found[key] != name] == []
+
+
+def test_only_notices_are_left_out(spark):
+    mit = next(t for k, t in LICENSES if k == "MIT")
+    body = mit[mit.index("Permission") :]
+    rows = [
+        ("Copyright The Authors\n\n" + body, "MIT"), ("Copyright (c) <year> <copyright holders>\n\n" + body, "MIT"), ("© 2020 X\n(c) 2021 Y\n" + body, "MIT"),
+        (body.replace("OR COPYRIGHT HOLDERS", "OR").replace("OR\nCOPYRIGHT HOLDERS", "OR"), None),  # words of the licence are missing
+        ("Copyright (c) 2024 X\nYou must not use this.\n" + body, None), ("Copyright (c) 2024 X\n\nNo rights.\n\n" + body, None), ("(c) You must pay.\n\n" + body, None),
+        ("Copyright 2024 X, " + "other words " * 60 + body, None), ("Copyright 2024 X " + "y " * 200_000, None), ("copyright (c) " * 20_000, None),
+    ]
+    got = scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string"))
+    assert {r["doc_id"]: r["license_id"] for r in got.collect()} == {i: k for i, (_, k) in enumerate(rows)}

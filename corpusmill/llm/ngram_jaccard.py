@@ -16,6 +16,9 @@ Plan
 5. Components of the links found so far.  Second round: of lists that still
    span several components, all pairs across components go through the same
    filters; pairs inside a component need no check, they cannot change it.
+6. For link counts only: all pairs inside a component of the first round,
+   block against block, so that a set is sent once a block and not once a pair.
+   With the second round's links these are all links, each counted once.
 The suffix filter bounds the Hamming distance from below: sets are cut into
 256 fixed parts by hash, and part sizes of different parity differ by one at
 least.
@@ -36,6 +39,8 @@ from corpusmill.sources.workdir import materialize
 
 SLOT_BITS, SLOT_PARTS = 20, 256
 SKETCH_WORDS = 4
+#: Nodes of a component are compared in pairs of blocks of about this size.
+BLOCK_NODES = 256
 
 
 def _slot(shingles: np.ndarray) -> np.ndarray:
@@ -145,6 +150,53 @@ def _verify(num: int, den: int):
     return run
 
 
+def _count_links(num: int, den: int):
+    """Rows of (comp, lo, hi, chunk, node, members, shingles) sorted by the first three: linked documents of every node, among the
+    pairs of block lo with block hi of a component."""
+
+    def links(rows):
+        lo, hi = rows[0][1], rows[0][2]
+        left = [r for r in rows if r[3] == lo]
+        right = left if lo == hi else [r for r in rows if r[3] == hi]
+        if not left or not right:
+            return
+        a_sets, b_sets = ([np.frombuffer(r[6], dtype=np.uint64) for r in x] for x in (left, right))
+        a_n, b_n = (np.array([len(s) for s in x], dtype=np.int64) for x in (a_sets, b_sets))
+        a_marks, b_marks = (np.array([sketch(s) for s in x]).view(np.uint64) for x in (a_sets, b_sets))
+        members = np.array([r[5] for r in right], dtype=np.int64)
+        gains, back = np.zeros(len(left), dtype=np.int64), np.zeros(len(right), dtype=np.int64)
+        for i, s in enumerate(a_sets):
+            both = a_n[i] + b_n
+            needed = -(-num * both // (num + den))
+            near = (den * np.minimum(a_n[i], b_n) >= num * np.maximum(a_n[i], b_n)) & (np.bitwise_count(a_marks[i] ^ b_marks).sum(1, dtype=np.int64) <= both - 2 * needed)
+            if lo == hi:
+                near[: i + 1] = False
+            for j in np.flatnonzero(near).tolist():
+                t = b_sets[j]
+                shared = int(np.count_nonzero(s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t))
+                if den * shared >= num * (len(s) + len(t) - shared):
+                    gains[i] += members[j]
+                    back[j] += left[i][5]
+        yield from zip((r[4] for r in left), gains.tolist())
+        yield from zip((r[4] for r in right), back.tolist())
+
+    def run(batches):
+        rows, found = [], []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if rows and row[:3] != rows[0][:3]:
+                    found += links(rows)
+                    rows = []
+                rows.append(row)
+            yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["node", "links"])
+            found = []
+        if rows:
+            found += links(rows)
+            yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["node", "links"])
+
+    return run
+
+
 def _needed(num: int, den: int):
     """Least intersection of sets of a_n and b_n shingles that link."""
     return F.expr(f"ceil({num} * (a_n + b_n) / cast({num + den} as double))")
@@ -168,7 +220,7 @@ class _Join:
         known = self.rows.filter("n > 0 and doc_id is not null")
         self.nodes = materialize(
             known.groupBy("digest")
-            .agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("marks").alias("marks"))
+            .agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("members"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("marks").alias("marks"))
             .withColumn("node", F.monotonically_increasing_id()),
             "nodes",
         )
@@ -179,6 +231,12 @@ class _Join:
         heads = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("pos", "n", "node")).alias("head")).filter("rows > 1").drop("rows")
         return materialize(entries.join(heads, "shingle").select("shingle", "node", "n", "pos", "head"), "lists")
 
+    def sets(self, asked: DataFrame) -> DataFrame:
+        """node, shingles of asked(node, digest, first_doc)."""
+        texts = self.docs.join(asked.select(F.col("first_doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        sets = texts.mapInArrow(_sets(self.n), "digest binary, shingles binary").dropDuplicates(["digest"])
+        return materialize(sets.join(asked.select("node", "digest"), "digest").select("node", "shingles"), "sets", "lz4")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Suffix filter on sketches, then exact verification; pairs(a, b, a_n, b_n) are distinct."""
         marks = self.nodes.select("node", "marks")
@@ -189,9 +247,7 @@ class _Join:
         near = materialize(sketched.filter(F.expr(apart) <= F.col("a_n") + F.col("b_n") - 2 * _needed(self.num, self.den)).select("a", "b"), "pairs")
         asked = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
         asked = materialize(self.nodes.select("node", "digest", "first_doc").join(asked, "node"), "asked")
-        texts = self.docs.join(asked.select(F.col("first_doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        sets = texts.mapInArrow(_sets(self.n), "digest binary, shingles binary").dropDuplicates(["digest"])
-        sets = materialize(sets.join(asked.select("node", "digest"), "digest").select("node", "shingles"), "sets", "lz4")
+        sets = self.sets(asked)
         full = near.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_set")), "b").join(
             sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set")), "a"
         )
@@ -208,7 +264,7 @@ class _Join:
         )
         first = materialize(first, "candidates")
         links = materialize(self.verified(first), "links")
-        comp = connected_components(links, "a", "b")
+        comp = self.first_comp = connected_components(links, "a", "b")
         spans = lists.drop("head").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         spans = materialize(spans, "spans")
         mixed = spans.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("shingle")
@@ -223,18 +279,35 @@ class _Join:
             .distinct()
             .join(first.select("a", "b"), ["a", "b"], "left_anti")
         )
-        more = materialize(self.verified(rest), "links")
+        more = self.across = materialize(self.verified(rest), "links")
         if not more.isEmpty():
             # components hang together through their smallest nodes
             links = materialize(more.union(comp.filter("node != comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))), "links")
             comp = connected_components(links, "a", "b")
         named = self.nodes.select("node", "digest", "first_doc").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         smallest = named.groupBy("comp").agg(F.min("first_doc").alias("component_id"))
-        classes = materialize(named.join(smallest, "comp").select("digest", "component_id"), "classes")
+        self.classes = materialize(named.join(smallest, "comp").select("digest", "component_id"), "classes")
+        return self.by_row(self.classes)
+
+    def by_row(self, classes: DataFrame, *more) -> DataFrame:
         return self.rows.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(classes, "digest", "left").select(
-            "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+            "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), *more
         )
 
+    def link_counts(self) -> DataFrame:
+        """digest, n_links of a document with that set; after run(), which finds the components."""
+        asked = materialize(self.nodes.select("node", "digest", "first_doc", "members").join(self.first_comp, "node"), "asked")
+        parts = asked.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).cast("int").alias("parts"))
+        placed = asked.join(parts, "comp").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
+        placed = placed.join(self.sets(asked), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        blocks = placed.select("comp", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "members", "shingles")
+        inside = blocks.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi").mapInArrow(_count_links(self.num, self.den), "node long, links long")
+        size = self.nodes.select("node", "members")
+        ends = self.across.union(self.across.select("b", "a"))
+        outside = ends.join(size.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), F.col("members").alias("links"))
+        linked = inside.union(outside).groupBy("node").agg(F.sum("links").alias("links"))
+        return self.nodes.select("node", "digest", "members").join(linked, "node", "left").select("digest", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+
 
 def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Near-duplicate components of documents(doc_id, text).
@@ -253,6 +326,18 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     return _Join(docs, n, num, den).run()
 
 
+def similarity_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of similarity_components with n_links: how many other rows link with the row.
+
+    Every link counts, not only those that make a component; rows without
+    shingles or doc_id have 0.
+    """
+    join = _Join(docs, n, num, den)
+    join.run()
+    classes = materialize(join.classes.join(join.link_counts(), "digest"), "classes")
+    return join.by_row(classes, F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
+
+
 def keep_one_per_component(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents whose doc_id names their component: one of each group, all columns.
 

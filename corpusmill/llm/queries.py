@@ -1,7 +1,7 @@
 """The queries of the llm operators over the driver's tables, and their SQL twins where SQL can express them.
 
 Without a SQL twin, and tested against brute force or held-out labels instead:
-op5 (dynamic programming), op6 (a trained model), op8 (a trained model).
+op5 (dynamic programming), op6 (a trained model), op8 (a trained model), link counts of op10 (its twin has the components).
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import decontaminate, exact_topk, license_scan, mixing, quality_gam, role_repair, secrets, url_filter, warc
-from corpusmill.llm.ngram_jaccard import similarity_components
+from corpusmill.llm.ngram_jaccard import similarity_components, similarity_links
 from corpusmill.sources.tables import table
 
 QUERIES: dict = {}
@@ -78,6 +78,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, num=85, den=100)
 
 
+@query
+def op10_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_links(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, num=85, den=100)
+
+
 ORACLES["op1_url_filters"] = """
 WITH p AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

@@ -4,9 +4,9 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from corpusmill.llm import wordhash
+from corpusmill.llm import ngram_jaccard, wordhash
 from corpusmill.llm.components import connected_components
-from corpusmill.llm.ngram_jaccard import keep_one_per_component, similarity_components
+from corpusmill.llm.ngram_jaccard import keep_one_per_component, similarity_components, similarity_links
 
 
 def brute(rows, n, num, den):
@@ -62,6 +62,23 @@ def test_components_equal_brute_force(spark, n, num):
     assert sorted(got, key=str) == brute(rows, n, num, 100)
 
 
+@pytest.mark.parametrize("block", [256, 3])
+def test_every_link_counts(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_NODES", block)
+    base = [f"v{i}" for i in range(60)]
+    rows = corpus() + EDGES + [(2000 + i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(0, 60, 5)]  # all near each other
+    docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, n_links string").repartition(5)
+    got = [tuple(r) for r in similarity_links(docs, 4, 70, 100).collect()]
+    sets = []
+    for _, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        sets.append({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
+    near = lambda i, j: i != j and sets[i] and rows[i][0] is not None and rows[j][0] is not None and 100 * len(sets[i] & sets[j]) >= 70 * len(sets[i] | sets[j])
+    counts = sorted(((k, sum(bool(near(i, j)) for j in range(len(rows)))) for i, (k, _) in enumerate(rows)), key=str)
+    assert sorted(((r[0], r[3]) for r in got), key=str) == counts
+    assert sorted((r[:3] for r in got), key=str) == brute(rows, 4, 70, 100)
+
+
 def test_empty_table(spark):
     assert similarity_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

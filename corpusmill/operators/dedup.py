@@ -15,6 +15,8 @@ from corpusmill.sources.workdir import materialize
 
 SHINGLE, THRESHOLD, PERMUTATIONS = 5, 0.8, 128
 PRIME = (1 << 31) - 1
+#: Members of a band that meet all the others in one task; more are cut into parts of about this size.
+BAND_ROWS = 1024
 
 
 def exact_clusters(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -107,16 +109,24 @@ def bands_and_rows(threshold: float, permutations: int = PERMUTATIONS) -> tuple[
 
 
 def lsh_candidates(signatures: DataFrame, threshold: float = THRESHOLD, permutations: int = PERMUTATIONS, key: str = "doc_id") -> DataFrame:
-    """Distinct pairs a < b that agree in a band of their signatures (key, signature).
+    """a, b, same: distinct pairs a < b that agree in a band of their signatures (key, signature).
 
-    Each member of a band is paired with the band's smallest member, so that a
-    band costs as many pairs as it has members; equal signatures are one class.
+    Keys with equal signatures are one class, named by its smallest key.  Rows
+    with same = true are membership: class a, other member b.  Rows with same =
+    false are all pairs of classes that agree in a band; hot bands are dealt out.
     """
     bands, rows = bands_and_rows(threshold, permutations)
+    signed = signatures.select(F.col(key).alias("b"), "signature")
+    classes = materialize(signed.groupBy("signature").agg(F.min("b").alias("a")), "signatures")
+    members = signed.join(classes, "signature").filter("a < b").select("a", "b").distinct()
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice("signature", i * rows + 1, rows)).alias("h"))))
-    keyed = signatures.select(F.col(key).alias("b"), band.alias("band"))
-    first = keyed.groupBy("band").agg(F.min("b").alias("a"))
-    return keyed.join(first, "band").filter("a < b").select("a", "b").distinct()
+    keyed = classes.select("a", band.alias("band"))
+    hot = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", F.ceil(F.col("n") / BAND_ROWS).cast("int").alias("parts"))
+    listed = materialize(keyed.join(hot, "band"), "bands")
+    left = listed.select("band", "a", F.pmod(F.xxhash64("a"), F.col("parts").cast("long")).cast("int").alias("part"))
+    right = listed.select("band", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = left.join(right, ["band", "part"]).filter("a < b").select("a", "b").distinct()
+    return pairs.withColumn("same", F.lit(False)).union(members.withColumn("same", F.lit(True)))
 
 
 def star_clusters(nodes: DataFrame, edges: DataFrame, key: str = "doc_id") -> DataFrame:

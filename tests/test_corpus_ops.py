@@ -43,6 +43,28 @@ def test_near_pairs_equal_brute_force(spark):
     assert all(len(r["signature"]) == 32 for r in sig.collect()) and dedup.lsh_candidates(sig, 0.5, 32).count() > 0
 
 
+@pytest.mark.parametrize("band_rows", [1024, 2])
+def test_lsh_candidates_are_all_pairs_of_a_band(spark, monkeypatch, band_rows):
+    monkeypatch.setattr(dedup, "BAND_ROWS", band_rows)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(0, 200, 20)]  # near copies, the pairs (b, c) too
+    rows += [(1000, rows[3][1]), (1001, rows[3][1]), (1002, "something else altogether here and now")]
+    sets = dedup.shingle_rows(docs(spark, rows)).groupBy("doc_id").agg(F.collect_set("shingle").alias("s"))
+    signatures = dedup.minhash(sets)
+    signed = {r[0]: tuple(r[1]) for r in signatures.collect()}
+    first = {}
+    for k in sorted(signed):
+        first.setdefault(signed[k], k)
+    bands, n = dedup.bands_and_rows(dedup.THRESHOLD)
+    agree = lambda a, b: any(signed[a][i * n : i * n + n] == signed[b][i * n : i * n + n] for i in range(bands))
+    got = [tuple(r) for r in dedup.lsh_candidates(signatures).collect()]
+    pairs = {(a, b) for a, b in combinations(sorted(first.values()), 2) if agree(a, b)}
+    assert len(got) == len(set(got)) and {x[:2] for x in got if not x[2]} == pairs
+    assert {x[:2] for x in got if x[2]} == {(first[s], k) for k, s in signed.items() if first[s] != k} == {(60, 1000), (60, 1001)}
+    true = {(r["a"], r["b"]) for r in dedup.near_duplicate_pairs(docs(spark, rows)).collect()}
+    assert len(true) == 45 and len(true & pairs) >= 0.9 * len(true)
+
+
 def test_star_clusters_equal_greedy(spark):
     rng = random.Random(3)
     for _ in range(2):

@@ -148,6 +148,15 @@ def star_clusters(nodes: DataFrame, edges: DataFrame, key: str = "doc_id") -> Da
     return state.join(claims, "node", "left").select(F.col("node").alias(key), F.when(F.col("centre"), F.col("node")).otherwise(F.col("claim")).alias("cluster_id"))
 
 
+def near_duplicate_clusters(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, cluster_id of every document: the star cluster of the class of its exact copies."""
+    docs = docs.select(key, text)
+    classes = materialize(exact_clusters(docs, key, text), "classes")
+    stars = star_clusters(classes.filter(F.col(key) == F.col("cluster_id")).select(key).distinct(), near_duplicate_pairs(docs, threshold, n, key, text), key)
+    named = stars.select(F.col(key).alias("class"), F.col("cluster_id").alias("star"))
+    return classes.join(named, F.col("cluster_id") == F.col("class")).select(key, F.col("star").alias("cluster_id"))
+
+
 def split_by_clusters(clusters: DataFrame, val_ratio: float, test_ratio: float, seed: str = "split", key: str = "doc_id") -> DataFrame:
     """key, cluster_id, split.  Clusters in hash order fill validation, then test; the last one may overshoot.
 

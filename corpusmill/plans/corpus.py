@@ -101,6 +101,10 @@ query(
     f"WITH {CLUSTERS}, {ORDERED} SELECT count(*) AS raw_count, count(*) AS post_filter_count, count(*) FILTER (split = 'train') AS train_count, count(*) FILTER (split = 'validation') AS val_count, count(*) FILTER (split = 'test') AS test_count, round(count(*) FILTER (split = 'train')::DOUBLE / count(*), 4) AS train_ratio FROM f",
 )(lambda s, d: dedup.split_stats(dedup.split_by_clusters(dedup.exact_clusters(docs(s, d)), 0.1, 0.1)))
 
+# with near copies; the queries above know exact copies alone, and star_clusters has a row for each class of them
+query("near_duplicate_clusters")(lambda s, d: dedup.near_duplicate_clusters(docs(s, d)))
+query("cluster_split_fuzzy")(lambda s, d: dedup.split_by_clusters(dedup.near_duplicate_clusters(docs(s, d)), 0.1, 0.1))
+
 
 def signatures(spark: SparkSession, d: str) -> DataFrame:
     w = docs(spark, d).select("doc_id", tx.words(F.lower("text")).alias("w")).filter(F.size("w") > 0)

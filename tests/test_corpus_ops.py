@@ -81,6 +81,16 @@ def test_star_clusters_equal_greedy(spark):
         assert {r[0]: r[1] for r in got.collect()} == expected
 
 
+def test_near_copies_and_their_exact_copies_share_a_split(spark):
+    base = [f"w{i}" for i in range(100)]
+    near = " ".join(base[:50] + ["x"] + base[51:])
+    rows = [(1, " ".join(base)), (2, near), (3, near.upper()), (4, " ".join(base)), (5, "other words"), (6, ""), (7, None)]
+    clusters = dedup.near_duplicate_clusters(docs(spark, rows))
+    assert sorted(map(tuple, clusters.collect())) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 6), (7, 7)]
+    got = {r["doc_id"]: r["split"] for r in dedup.split_by_clusters(clusters, 0.1, 0.1).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6, 7] and len({got[k] for k in (1, 2, 3, 4)}) == 1
+
+
 def test_cluster_split_keeps_clusters_together(spark):
     clusters = spark.createDataFrame([(i, i // 3 * 3) for i in range(60)], "doc_id long, cluster_id long")
     rows = dedup.split_by_clusters(clusters, 0.1, 0.1).collect()

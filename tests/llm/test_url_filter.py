@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -35,6 +36,14 @@ def test_equal_to_brute_force(spark, monkeypatch, largest):
     assert got == {i: brute(u, URL_RULES) for i, u in enumerate(urls)}
 
 
+def test_a_very_long_segment():
+    rules = [("block", "a.org", "/" + "x" * n) for n in (1, 40, 5000)] + [("allow", "a.org", "/q/")]
+    trie, start = url_filter.Trie(rules), time.monotonic()
+    assert [trie.find("b.a.org", "/" + "x" * n) for n in (39, 40, 4999, 1_000_000)] == [0, 1, 1, 2]
+    assert trie.find("a.org", "/" + "y" * 1_000_000) == -1
+    assert time.monotonic() - start < 1
+
+
 def test_no_rules_and_no_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.org/")], "page_id int, url string")
     assert [tuple(r)[2:] for r in url_filter.filter_urls(pages, [], "block").collect()] == [("a.org", "/", None, "block")]

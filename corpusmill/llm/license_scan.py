@@ -1,9 +1,15 @@
 """License scans: canonical digest lookup of entire texts.  DataFrame functions only.
 
-A text is brought to a canonical form (case, equivalent spellings, copyright
-notices, punctuation, white space) and the SHA-256 of the form is looked up among
-the digests of known licences with a hash join.  Only whole texts match; a
-licence inside a longer text has another digest.
+A text is brought to a canonical form (case, punctuation and white space,
+copyright lines, equivalent spellings) and the SHA-256 of the form is looked up
+among the digests of known licences with a hash join.  Only whole texts match;
+a licence inside a longer text has another digest.
+
+The form is made of words, so that neither comment signs nor line widths
+matter.  Copyright lines are left out by two rules without look-around, each in
+time that grows with the text: a notice, up to words that begin a known
+licence, wherever lines break; and a line that begins with a notice with sign
+or year.  Texts without the word or the sign skip both.
 """
 
 from __future__ import annotations
@@ -11,105 +17,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm.licenses import LICENSES, OPENINGS
+
 #: Known digests up to this number are broadcast (under 200 bytes each); more are joined by shuffle.
 MAX_BROADCAST_LICENSES = 100_000
+#: Words that the holders in front of a licence may have.
+HOLDER_WORDS = 100
 
-# Equivalent spellings, applied to lower-case text in this order.
+# Equivalent spellings in lower-case words with one blank around each, applied in this order.
 SPELLINGS = (
-    (r"\blicence", "license"),
-    (r"\bsub-license", "sublicense"),
-    (r"\bnon-infringement", "noninfringement"),
-    (r"\bfavour", "favor"),
-    (r"\bhonour", "honor"),
-    (r"\borganis", "organiz"),
-    (r"\bauthoris", "authoriz"),
-    (r"\brecognis", "recogniz"),
-    (r"\bwhilst\b", "while"),
-    (r"\bmerchantibility", "merchantability"),
-    (r"https?://", "//"),
-    (r"\ball rights reserved\b", " "),
-)
-#: The rule of the SQL twin, whose engine has no look-around.
-COPYRIGHT_LINE = r"(?m)^[\s#*/;%-]*(copyright|\(c\)|©).*$"
-
-# Copyright notices, not the mere word.  Holders have 300 characters at most, without a blank line.
-_NO_NOTICE = r"(?![\s#*/;%-]+(?:holders?|owners?|notices?|laws?|licen[cs]es?|statements?|interests?|protection|disclaimers?|and|or|in|of|is|are|to|for)\b)"
-_MARK = rf"(?>\bcopyright\b{_NO_NOTICE}[\s:#*/;%-]*(?:\(c\)|©)?|(?:\(c\)|©)[\s#*/;%-]*(?:copyright\b)?)"
-_BODY = r"permission[\s#*/;%-]+is[\s#*/;%-]+hereby[\s#*/;%-]+granted|permission[\s#*/;%-]+to[\s#*/;%-]+use|redistribution[\s#*/;%-]+and[\s#*/;%-]+use|(?:mit|isc|bsd[\s#*/;%-]+[23]-clause)[\s#*/;%-]+licen[cs]e|(?:this[\s#*/;%-]+work[\s#*/;%-]+is[\s#*/;%-]+)?licen[cs]ed[\s#*/;%-]+under|released[\s#*/;%-]+under"
-_HOLDER = rf"(?s:(?!\n[^\S\n]*\n|{_MARK}|\b(?:may|must|shall|not|is|are|you|any|use)\b).){{0,300}}?"
-_YEAR = r"[\s:,]*(?:by\s+)?(?:\d{4}|[<\[{])"
-NOTICES = (
-    # one or more, up to words that begin a licence, wherever lines break
-    rf"(?:{_MARK}{_HOLDER}(?:\n[^\S\n]*\n\s*)?+){{1,16}}[\s#*/;%-]*(?=\b(?:{_BODY})\b)",
-    # others: the rest of a line that begins with a sign or a year, or of a paragraph's first line
-    rf"(?m)(?:^[\s#*/;%-]*(?:copyright\s*(?:\(c\)|©)|copyright{_YEAR}|\(c\)\s*(?:copyright\b|\d{{4}})|©)|(?:\A|(?<=\n)[^\S\n]*\n)[\s#*/;%-]*copyright\b{_NO_NOTICE}).{{0,300}}$",
+    ("licence", "license"),
+    (" sub license", " sublicense"),
+    (" non infringement", " noninfringement"),
+    (" favour", " favor"),
+    (" honour", " honor"),
+    (" organis", " organiz"),
+    (" authoris", " authoriz"),
+    (" recognis", " recogniz"),
+    (" whilst ", " while "),
+    (" merchantibility ", " merchantability "),
+    (" https ", " http "),
+    (" all rights reserved ", " "),
+    (" copyrightsign ", " "),
 )
+# Words that no holder's name has; a notice does not reach over them.
+SENTENCE_WORDS = ("may", "must", "shall", "not", "is", "are", "you", "any", "use")
+SIGN, STOP = " copyrightsign ", "\x01"
 
-# Public licence texts and notices.
-_MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
-rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
-persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
-Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
-WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
-COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
-OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
-_ISC_BODY = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
-granted, provided that the above copyright notice and this permission notice appear in all copies.
-
-"""
-_ISC_END = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
-IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
-INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
-ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
-THIS SOFTWARE."""
-_BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
-following conditions are met:
-
-1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
-disclaimer.
 
-2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
-disclaimer in the documentation and/or other materials provided with the distribution.
+def _opening(words: str) -> str:
+    return r"[ \n]+".join((STOP if w in SENTENCE_WORDS else "") + w.replace("license", "licen[cs]e") for w in words.split())
 
-"""
-_BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
-products derived from this software without specific prior written permission.
 
-"""
-_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
-INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
-DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
-SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
-LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
-CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
-SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
-LICENSES = (
-    ("MIT", "MIT License\n\nCopyright (c) 2024 Someone\n\n" + _MIT_BODY),
-    ("MIT", _MIT_BODY),
-    ("ISC", "ISC License\n\nCopyright (c) 2024 Someone\n\n" + _ISC_BODY + _ISC_END),
-    ("ISC", _ISC_BODY + _ISC_END),
-    ("BSD-2-Clause", "BSD 2-Clause License\n\nCopyright (c) 2024, Someone\n\n" + _BSD_HEAD + _BSD_END),
-    ("BSD-2-Clause", _BSD_HEAD + _BSD_END),
-    ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2024, Someone\n\n" + _BSD_HEAD + _BSD_THIRD + _BSD_END),
-    ("BSD-3-Clause", _BSD_HEAD + _BSD_THIRD + _BSD_END),
-    ("MIT-notice", "Released under the MIT License."),
-    ("Apache-2.0-notice", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-3.0-notice", "This work is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0-notice", "Licensed under CC BY-NC 4.0."),
-)
+# In both, every word has a blank of its own on either side; lines end with one \n, paragraphs with two.
+NOTICE = rf" copyright(?:sign)? \n?(?: [^ \n{STOP}]+ \n?){{0,{HOLDER_WORDS}}}?[ \n]*((?:{'|'.join(map(_opening, OPENINGS))}) )"
+LINE = r"(?m)^ (?:copyright  copyrightsign |copyrightsign  (?:copyright|[0-9]{4})|copyright  (?:by  )?[0-9]{4})[^\n]{0,300}$"
+NOT_WORDS = r"[^\p{L}\p{N}]+"
+NOT_WORDS_IN_LINES = r"[^\p{L}\p{N}\n]+"
 
 
 def canonical(text: Column) -> Column:
     """The canonical form; null stays null."""
-    form = F.translate(F.lower(text), "‘’“”", "''\"\"")
-    for pattern, plain in (*((notice, " ") for notice in NOTICES), *SPELLINGS):
-        form = F.regexp_replace(form, pattern, plain)
-    return F.trim(F.regexp_replace(form, r"[^\p{L}\p{N}]+", " "))
+    signs = F.replace(F.replace(F.lower(text), F.lit("(c)"), F.lit(SIGN)), F.lit("©"), F.lit(SIGN))
+    lines = F.regexp_replace(F.regexp_replace(signs, NOT_WORDS_IN_LINES, "  "), r" *\n *", "\n")
+    lines = F.concat(F.lit(" "), F.replace(lines, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
+    for word in SENTENCE_WORDS:
+        lines = F.replace(lines, F.lit(f" {word} "), F.lit(f" {STOP}{word} "))
+    lines = F.regexp_replace(F.regexp_replace(lines, NOTICE, " $1"), LINE, " ")
+    words = F.regexp_replace(F.when(F.contains(signs, F.lit("copyright")), lines).otherwise(signs), NOT_WORDS, " ")
+    form = F.concat(F.lit(" "), words, F.lit(" "))
+    for spelling, plain in SPELLINGS:
+        form = F.replace(form, F.lit(spelling), F.lit(plain))
+    return F.trim(form)
 
 
 def digest(text: Column) -> Column:
@@ -128,7 +87,8 @@ def scan_licenses(docs: DataFrame, licenses: DataFrame | None = None) -> DataFra
     licenses: license_digest, license_id (default: LICENSES).  Null texts have
     a null digest and no licence; texts without letters or digits have the
     digest of the empty form and no licence; null and repeated doc_ids are
-    passed on; other columns are ignored.
+    passed on; other columns are ignored; the time for a very long text or a
+    very long line grows with its length; an empty table gives an empty result.
     """
     known = known_licenses(docs.sparkSession) if licenses is None else licenses
     known = known.filter(F.col("license_digest") != F.sha2(F.lit(""), 256))
@@ -142,10 +102,17 @@ def license_sql() -> str:
     """The same in SQL: forms of the documents and of the fixed texts, joined."""
 
     def form(text: str) -> str:
-        out = f"regexp_replace(translate(lower({text}), '‘’“”', '''''\"\"'), '{COPYRIGHT_LINE.replace('(?m)', '(?m)')}', ' ', 'g')"
-        for pattern, plain in SPELLINGS:
-            out = f"regexp_replace({out}, '{pattern}', '{plain}', 'g')"
-        return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+        signs = f"replace(replace(lower({text}), '(c)', '{SIGN}'), '©', '{SIGN}')"
+        lines = f"regexp_replace(regexp_replace({signs}, '{NOT_WORDS_IN_LINES}', '  ', 'g'), ' *\\n *', chr(10), 'g')"
+        lines = f"(' ' || replace({lines}, chr(10), ' ' || chr(10) || ' ') || ' ')"
+        for word in SENTENCE_WORDS:
+            lines = f"replace({lines}, ' {word} ', ' ' || chr(1) || '{word} ')"
+        notice = NOTICE.replace(STOP, "\\x01")
+        lines = f"regexp_replace(regexp_replace({lines}, '{notice}', ' \\1', 'g'), '{LINE}', ' ', 'g')"
+        out = f"' ' || regexp_replace(CASE WHEN contains({signs}, 'copyright') THEN {lines} ELSE {signs} END, '{NOT_WORDS}', ' ', 'g') || ' '"
+        for spelling, plain in SPELLINGS:
+            out = f"replace({out}, '{spelling}', '{plain}')"
+        return f"trim({out})"
 
     rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in LICENSES)
     return f"""

@@ -1,6 +1,9 @@
+import random
 import textwrap
+import time
 
-from corpusmill.llm.license_scan import LICENSES, digest, scan_licenses
+import duckdb
+from corpusmill.llm.license_scan import LICENSES, digest, license_sql, scan_licenses
 from pyspark.sql import functions as F
 
 
@@ -32,8 +35,8 @@ def test_licenses_at_other_widths(spark):
         for holder in ("2024 Someone", "2011-2024 The Regents of X, Inc. <a@b.c>\nCopyright 2009 A. Person. All rights reserved."):
             own = text.replace("2024, Someone", "2024 Someone").replace("2024 Someone", holder)
             for width in (25, 40, 60, 72, 79, 100, 10**6):
-                rows.append((len(rows), name, "\n\n".join(textwrap.fill(x, width) for x in own.split("\n\n"))))
-                rows.append((len(rows), name, textwrap.fill(own, width)))
+                rows.append((len(rows), name, "\n\n".join(textwrap.fill(x, width, break_long_words=False) for x in own.split("\n\n"))))
+                rows.append((len(rows), name, textwrap.fill(own, width, break_long_words=False)))
                 rows.append((len(rows), name, textwrap.indent(rows[-1][2], "# ", lambda _: True)))
     got = scan_licenses(spark.createDataFrame(rows, "doc_id long, name string, text string"))
     found = {r["doc_id"]: r["license_id"] for r in got.collect()}
@@ -51,3 +54,26 @@ def test_only_notices_are_left_out(spark):
     ]
     got = scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string"))
     assert {r["doc_id"]: r["license_id"] for r in got.collect()} == {i: k for i, (_, k) in enumerate(rows)}
+
+
+def test_time_grows_with_the_length(spark):
+    mit = next(t for k, t in LICENSES if k == "MIT")
+    rows = [mit + "\n" * 1_000_000, "copyright" + "\n" * 1_000_000, "\n" * 500_000 + "(c) " * 50_000, "copyright " * 100_000, " # " * 300_000 + mit, "copyright " + "x" * 1_000_000]
+    spark.createDataFrame([(0, "warm up")], "doc_id long, text string").transform(scan_licenses).collect()
+    start = time.monotonic()
+    got = scan_licenses(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["license_id"] for r in got.collect()} == {0: "MIT", 1: None, 2: None, 3: None, 4: "MIT", 5: None}
+    assert time.monotonic() - start < 10
+
+
+def test_equal_to_the_sql_twin(spark, tmp_path):
+    rng = random.Random(6)
+    parts = ["Copyright", "(c)", "©", "2024", "Someone", "\n", "\n\n", "# ", " ", "must", "is", "all rights reserved", "Licence", "sub-license", "https://x", "permission is hereby granted", "released under", "é", "Ö", "\x01", "-", "organism", "  \n  "]
+    texts = [t for _, t in LICENSES] + ["x " + t for _, t in LICENSES[:5]] + ["".join(rng.choices([*parts, " "], k=rng.randrange(60))) for _ in range(600)] + [None, "", " . "]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {k: v for k, *v in db.execute(license_sql()).fetchall()}
+    got = {k: v for k, *v in scan_licenses(table).collect()}
+    assert {k: (texts[k], got[k], want[k]) for k in got if got[k] != want[k]} == {}

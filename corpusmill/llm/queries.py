@@ -1,7 +1,7 @@
 """The queries of the llm operators over the driver's tables, and their SQL twins where SQL can express them.
 
 Without a SQL twin, and tested against brute force or held-out labels instead:
-op5 (dynamic programming), op6 (a trained model), op8 (a trained model), link counts of op10 (its twin has the components).
+op5 (dynamic programming), op6 (a trained model), the added spans of op8 (a trained model; op8_base_spans has the others), link counts of op10 (its twin has the components).
 """
 
 from __future__ import annotations
@@ -68,6 +68,11 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @query
 def op9_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
@@ -112,6 +117,25 @@ SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN first < page_id THEN
 FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 100
 """
 ORACLES["op7_decontamination"] = decontaminate.CONTAINMENT_SQL
+# RE2's (?i) would fold letters beyond ASCII
+ASSIGN_SQL = r"""'([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'"""
+ORACLES["op8_base_spans"] = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (
+  SELECT doc_id, 0 AS k, regexp_split_to_array(t, PATTERN_0) AS gaps, regexp_extract_all(t, PATTERN_0) AS hits, regexp_extract_all(t, PATTERN_0, 2) AS parts FROM t
+  UNION ALL SELECT doc_id, 1, regexp_split_to_array(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+') FROM t WHERE contains(t, 'AKIA')
+  UNION ALL SELECT doc_id, 2, regexp_split_to_array(t, '[0-9a-f]{32,}'), regexp_extract_all(t, '[0-9a-f]{32,}'), regexp_extract_all(t, '[0-9a-f]{32,}') FROM t),
+i AS (SELECT doc_id, k, gaps, hits, parts, unnest(range(1, len(hits) + 1)) AS i FROM m),
+s AS (
+  SELECT doc_id, k, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a, length(hits[i]) AS n
+  FROM i WHERE length(parts[i]) >= CASE k WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 32 END),
+w AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(CASE k WHEN 0 THEN 'assign' WHEN 1 THEN 'access' ELSE 'hex' END || ':' || a || ':' || (a + n), ',' ORDER BY a, k) AS spans
+  FROM s GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256
+FROM t LEFT JOIN w ON t.doc_id = w.doc_id
+""".replace("PATTERN_0", ASSIGN_SQL)
 ORACLES["op9_license_digests"] = license_scan.license_sql()
 ORACLES["op10_ngram_jaccard_join"] = r"""
 WITH RECURSIVE w AS (

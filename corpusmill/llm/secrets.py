@@ -1,9 +1,11 @@
-"""Secret scans: three fixed patterns, and Markov models of random strings against ordinary identifiers.
-
-Tokens of 16 characters or more that mix character classes are scored with the
-log-likelihood ratio of two character Markov models, one trained on random
-strings and one on ordinary identifiers.  Tokens over the threshold become
-spans of kind "markov" beside those of the patterns.
+"""Secret scans: three fixed patterns, and Markov models of random strings against ordinary words and identifiers.
+
+Tokens of 16 characters or more are scored with the log-likelihood ratio of two
+character Markov models, one trained on random strings and one on ordinary
+ones: words of several languages and their compounds, identifiers, paths and
+numbers.  The ratio alone decides.  Tokens over the threshold become spans of
+kind "markov" beside those of the patterns; of a token that a pattern's span
+covers in part, the rest is scored.
 """
 
 from __future__ import annotations
@@ -25,13 +27,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # whole runs, as a shorter match would go on
 LEAST = {"assign": 8, "access": 16}
 
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])")
-PIECE = re.compile(r"[A-Za-z0-9]+")
+#: Characters of the shortest token that is scored.
+SHORTEST = 16
+TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 #: Mean log-likelihood ratio a character from which a token counts as random.
-THRESHOLD = 0.35
+THRESHOLD = 0.2
 #: Samples of each label that a model is trained on.
-SAMPLES = 4000
+SAMPLES = 12000
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _CODE = np.full(128, 0, dtype=np.int64)
@@ -67,6 +69,45 @@ true type unique unit update upload url user util valid value variable vector ve
 wait warning watch web week weight widget width window word worker wrapper write xml year zone""".split()
 
 
+# The first articles of a public declaration in six languages, and everyday words, without accents.
+TEXT = """All human beings are born free and equal in dignity and rights They are endowed with reason and conscience and should act
+towards one another in a spirit of brotherhood Everyone is entitled to all the rights and freedoms set forth in this declaration
+without distinction of any kind such as race colour sex language religion political or other opinion national or social origin
+property birth or other status Everyone has the right to life liberty and security of person
+the of and to in is that it was for on are with as his they be at one have this from or had by not but what some we can out other
+were all there when up use your how said an each she which their time will way about many then them would write like these long
+make thing see him two has look more day could go come did my sound no most number who over know water than call first people may
+down side been now find any new work part take get place made live where after back little only round man year came show every good
+through thought through weather whether nothing something together against question international understanding communication
+Alle Menschen sind frei und gleich an Wurde und Rechten geboren Sie sind mit Vernunft und Gewissen begabt und sollen einander im
+Geist der Bruderlichkeit begegnen Jeder hat Anspruch auf die in dieser Erklarung verkundeten Rechte und Freiheiten ohne irgendeinen
+Unterschied etwa nach Rasse Hautfarbe Geschlecht Sprache Religion politischer oder sonstiger Uberzeugung nationaler oder sozialer
+Herkunft Vermogen Geburt oder sonstigem Stand Jeder hat das Recht auf Leben Freiheit und Sicherheit der Person
+der die und in den von zu das mit sich des auf fur ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei
+einer um am sind noch wie einem uber einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde schon wenn ihre alle
+Geschwindigkeit Gesellschaft Wirtschaft Verantwortung Entwicklung Zusammenarbeit Zeitschrift tatsachlich wahrscheinlich schlechthin
+Moglichkeit Gerechtigkeit Wissenschaft verschiedene zwischen Deutschland Versicherung freundlich Pfeffer Schiff zwanzig schreiben
+Tous les etres humains naissent libres et egaux en dignite et en droits Ils sont doues de raison et de conscience et doivent agir les
+uns envers les autres dans un esprit de fraternite Chacun peut se prevaloir de tous les droits et de toutes les libertes proclames
+dans la presente declaration sans distinction aucune notamment de race de couleur de sexe de langue de religion politique ou de toute
+autre opinion origine nationale ou sociale de fortune de naissance ou de toute autre situation Tout individu a droit a la vie
+le de un a etre et en avoir que pour dans ce il qui ne sur se pas plus par je avec tout faire son mettre autre on mais nous comme ou si
+leur y dire elle devoir avant deux meme prendre aussi celui donner bien fois vous encore nouveau aller cela entre premier vouloir deja
+grand mon moins aucun lui temps tres savoir falloir voir quelque sans raison notre dont non monde jour monsieur demander alors apres
+Todos los seres humanos nacen libres e iguales en dignidad y derechos y dotados como estan de razon y conciencia deben comportarse
+fraternalmente los unos con los otros Toda persona tiene todos los derechos y libertades proclamados en esta declaracion sin distincion
+alguna de raza color sexo idioma religion opinion politica o de cualquier otra indole origen nacional o social posicion economica
+nacimiento o cualquier otra condicion Todo individuo tiene derecho a la vida a la libertad y a la seguridad de su persona
+de la que el en y a los se del las un por con no una su para es al lo como mas o pero sus le ha me si sin sobre este ya entre cuando
+todo esta ser son dos tambien fue habia era muy anos hasta desde nos mi porque que solo han yo hay vez puede todos asi ni parte tiene
+Todos os seres humanos nascem livres e iguais em dignidade e em direitos Dotados de razao e de consciencia devem agir uns para com os
+outros em espirito de fraternidade Todos os seres humanos podem invocar os direitos e as liberdades proclamados sem distincao alguma
+nao uma com para mais por isso tambem muito entao porque trabalho informacoes desenvolvimento universidade conhecimento
+Tutti gli esseri umani nascono liberi ed eguali in dignita e diritti Essi sono dotati di ragione e di coscienza e devono agire gli uni
+verso gli altri in spirito di fratellanza Ad ogni individuo spettano tutti i diritti e tutte le liberta senza distinzione alcuna
+""".split()
+
+
 def _digits(seed: str) -> Iterator[int]:
     """An endless stream of bytes that hangs on the seed alone."""
     n = 0
@@ -75,29 +116,50 @@ def _digits(seed: str) -> Iterator[int]:
         n += 1
 
 
+LOWER, UPPER, NUMBERS = ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62]
+#: What random strings are drawn from: letters and digits, base64, hex, base32, letters of one case.
+ALPHABETS = (LOWER + UPPER + NUMBERS, ALPHABET[:64], LOWER + UPPER + NUMBERS + "_-", NUMBERS + "abcdef", NUMBERS + "ABCDEF", UPPER + "234567", UPPER + NUMBERS, LOWER + NUMBERS, LOWER, UPPER, LOWER + UPPER)
+_STYLES = 12
+
+
 def labelled_samples(count: int = SAMPLES, seed: str = "train") -> list[tuple[str, int]]:
-    """(string, label): label 1 for random strings in several alphabets, 0 for ordinary identifiers."""
+    """(string, label): label 1 for random strings of every alphabet, a fourth of them grouped, label 0 for ordinary ones."""
     out, source = [], _digits(seed)
     take = lambda n: (next(source) << 16 | next(source) << 8 | next(source)) % n
-    alphabets = [ALPHABET[:62], ALPHABET[:64], "0123456789abcdef", ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62]]
-    for i in range(count):
-        letters = alphabets[i % len(alphabets)]
-        out.append(("".join(letters[take(len(letters))] for _ in range(16 + take(33))), 1))
-        words = [PARTS[take(len(PARTS))] for _ in range(3 + take(4))]
-        if take(2):
+    pick = lambda words: words[take(len(words))]
+
+    def natural(joint: str = "") -> str:
+        words = [pick(TEXT).lower()]
+        while sum(map(len, words)) < SHORTEST:
+            words.append(pick(TEXT).lower())
+        return joint.join(words)
+
+    def ordinary(style: int) -> str:
+        words = [pick(PARTS if take(2) else TEXT).lower() for _ in range(3 + take(4))]
+        if take(2) and style < 5:
             words.insert(1 + take(len(words)), str(take(3000)))
-        style = i % 5
         if style == 0:
-            name = words[0] + "".join(w.capitalize() for w in words[1:])
-        elif style == 1:
-            name = "_".join(words)
-        elif style == 2:
-            name = "-".join(words)
-        elif style == 3:
-            name = "_".join(words).upper()
-        else:
-            name = "/".join(words)
-        out.append((name, 0))
+            return words[0] + "".join(w.capitalize() for w in words[1:])
+        if style in (1, 2, 4):
+            return ("_", "-", "/")[style // 2].join(words)
+        if style == 3:
+            return "_".join(words).upper()
+        if style == 5:
+            return "".join(str(take(10)) for _ in range(SHORTEST + take(8)))
+        if style == 6:
+            return f"{1990 + take(40)}-{1 + take(12):02}-{1 + take(28):02}T{take(24):02}-{take(60):02}-{take(60):02}"
+        if style == 7:
+            return pick("=-_+/") * (SHORTEST + take(40))
+        return (natural(), natural().capitalize(), natural().upper(), natural("-"))[style - 8]
+
+    for i in range(count):
+        letters = ALPHABETS[i % len(ALPHABETS)]
+        drawn = "".join(pick(letters) for _ in range(SHORTEST + take(33)))
+        if take(4) == 0:
+            size, joint = 4 + take(5), pick("-_")
+            drawn = joint.join(drawn[at : at + size] for at in range(0, len(drawn), size))
+        out.append((drawn, 1))
+        out.append((ordinary(i % _STYLES), 0))
     return out
 
 
@@ -132,16 +194,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]], model: MarkovPair, threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
-    """Tokens that read as random and overlap no base span."""
-    out = []
+    """Tokens, or what base spans (sorted by start) leave of them, that read as random."""
+    out, at = [], 0
     for m in TOKEN.finditer(text):
-        token = m[0]
-        if not MIXED.match(token) or max(map(len, PIECE.findall(token)), default=0) < 12:
-            continue
-        if any(a < m.end() and m.start() < b for _, a, b in base):
-            continue
-        if model.score(token) >= threshold:
-            out.append(("markov", *m.span()))
+        start, end = m.span()
+        while at < len(base) and base[at][2] <= start:
+            at += 1
+        free, i = [], at
+        while i < len(base) and base[i][1] < end:
+            free.append((start, base[i][1]))
+            start = max(start, base[i][2])
+            i += 1
+        for a, b in (*free, (start, end)):
+            if b - a >= SHORTEST and model.score(text[a:b]) >= threshold:
+                out.append(("markov", a, b))
     return out
 
 
@@ -191,8 +257,9 @@ def scan_secrets(docs: DataFrame, model: MarkovPair | None = None, threshold: fl
 
     Spans are kind:start:end in code points, end exclusive, of whole matches.
     Null texts count as empty (no spans, the digest of the empty string); null
-    and repeated doc_ids are passed on; other columns are ignored; an empty
-    table gives an empty result.
+    and repeated doc_ids are passed on; other columns are ignored; the time for
+    a very long text grows with its length and its spans; an empty table gives
+    an empty result.
     """
     model = model or MarkovPair(labelled_samples())
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan(model, threshold, False), _COLUMNS)

@@ -1,8 +1,13 @@
 import hashlib
 import random
 import re
+import time
 
-from corpusmill.llm.secrets import MarkovPair, base_spans, labelled_samples, redact, redact_secrets, scan_secrets, written
+import duckdb
+import pytest
+
+from corpusmill.llm.queries import ORACLES
+from corpusmill.llm.secrets import ALPHABETS, THRESHOLD, MarkovPair, added_spans, base_spans, labelled_samples, redact, redact_secrets, scan_secrets, written
 
 
 def brute(text):
@@ -76,8 +81,58 @@ def test_models_tell_held_out_samples_apart():
     model, right = MarkovPair(labelled_samples()), 0
     held = labelled_samples(500, "held out")
     for text, label in held:
-        right += (model.score(text) >= 0.35) == bool(label)
-    assert right / len(held) > 0.97
+        right += (model.score(text) >= THRESHOLD) == bool(label)
+    assert right / len(held) > 0.99
+
+
+@pytest.mark.parametrize("letters", ALPHABETS)
+def test_random_strings_of_every_alphabet_are_found(letters):
+    rng, model, found = random.Random(letters), MarkovPair(labelled_samples()), 0
+    for size in (20, 24, 32, 48):
+        for _ in range(100):
+            key = "".join(rng.choices(letters, k=size))
+            text = f"An ordinary word, then ({key}) and no more."
+            base = base_spans(text)
+            spans = base + added_spans(text, base, model)
+            found += sum(b - a for a, b in {(a, b) for _, a, b in spans}) >= size - 16 and all(text.index(key) <= a and b <= text.index(key) + size for _, a, b in spans)
+    assert found >= 390
+
+
+def test_ordinary_tokens_stay(spark):
+    text = """Donaudampfschifffahrtsgesellschaft internationalization anticonstitutionnellement desenvolvimento Verantwortungsbewusstsein
+    get_user_profile_by_identifier_2024 https://example.org/articles/2024/05/how-to-write-tests ApplicationContextFactoryBean MAX_CONNECTION_RETRY_COUNT
+    4539148803436467 2024-05-06T10-11-12 ================ ---------------- ________________ src/main/resources/application-production config/settings/database
+    responsabilidades otorrinolaringologia precipitevolissimevolmente Rechtsschutzversicherungsgesellschaften einautzcherpfbezu thandshernding"""
+    model = MarkovPair(labelled_samples())
+    assert [text[a:b] for _, a, b in added_spans(text, [], model)] == []
+
+
+def test_rest_of_a_token_beside_a_base_span():
+    model, key = MarkovPair(labelled_samples()), "Zq3vX9tLm2PwR8sKd4Yh"
+    text = f"x {key}/{'0a1b2c3d' * 4}/{key[::-1]} y"
+    base = base_spans(text)
+    assert [k for k, _, _ in base] == ["hex"]
+    assert [text[a:b] for _, a, b in added_spans(text, base, model)] == [key + "/", "/" + key[::-1]]
+
+
+def test_many_spans_in_a_long_text():
+    model = MarkovPair(labelled_samples())
+    text = " ".join(f"token=abcdefgh{i} someOrdinaryIdentifier" for i in range(20_000)) + "Q7" * 500_000
+    start = time.monotonic()
+    base = base_spans(text)
+    added_spans(text, base, model)
+    assert len(base) == 20_000 and time.monotonic() - start < 5
+
+
+def test_base_spans_equal_the_sql_twin(spark, tmp_path):
+    rng = random.Random(3)
+    parts = ["password", "Token", "secret", "api_key", "=", ":", " ", '"', "'", "abc", "AKIA", "Z9", "deadbeef", "0" * 8, "\n", "é", "-", "ſ"]
+    texts = TEXTS + ["".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(400)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(db.execute(ORACLES["op8_base_spans"]).fetchall()) == sorted(tuple(r)[:5] for r in scan_secrets(table).collect())
 
 
 def test_redaction(spark):

@@ -1,9 +1,10 @@
 """Intermediate tables in the folder that the driver and all executors share.
 
-The folder is the one that ``spark.checkpoint.dir`` names.  Only where that is
-unset (tests, a laptop) a temporary folder takes its place.  Writing a table
-and reading it again cuts the lineage: a lost executor costs no recomputation
-of what came before, and the readers know the table's true size.
+The folder is the one that ``spark.checkpoint.dir`` names.  Only in local mode
+(tests, a laptop) a temporary folder may take its place; a cluster without a
+shared folder is an error, as its executors would not see each other's files.
+Writing a table and reading it again cuts the lineage: a lost executor costs no
+recomputation of what came before, and the readers know the table's true size.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="corpusmill-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -32,7 +35,15 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.work_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more, neither a later step nor a result."""
+    for table in tables:
+        remove(table.sparkSession, table.work_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

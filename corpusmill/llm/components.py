@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.sources.workdir import materialize
+from corpusmill.sources.workdir import discard, materialize
 
 
 def connected_components(links: DataFrame, u: str, v: str) -> DataFrame:
@@ -21,6 +21,7 @@ def connected_components(links: DataFrame, u: str, v: str) -> DataFrame:
     label = materialize(
         edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("comp")), "labels"
     )
+    held = label
     while True:
         near = (
             edges.join(label.select(F.col("node").alias("b"), "comp"), "b")
@@ -34,6 +35,10 @@ def connected_components(links: DataFrame, u: str, v: str) -> DataFrame:
             jumped.filter("low < comp").select(F.col("comp").alias("node"), F.lit(None).cast("long").alias("old"), "low")
         )
         new = materialize(offers.groupBy("node").agg(F.min("old").alias("old"), F.min("low").alias("comp")), "labels")
-        label = new.select("node", "comp")
-        if new.filter("comp < old").isEmpty():
+        done = new.filter("comp < old").isEmpty()
+        discard(held)
+        held, label = new, new.select("node", "comp")
+        if done:
+            discard(edges)
+            label.work_path = new.work_path
             return label

@@ -2,31 +2,43 @@
 
 Plan
 ----
-1. Count, over all documents, how often each of 2^20 hash slots is hit by a
-   distinct shingle.  Slot counts (4 MB, whatever the corpus) order shingles
-   from rare to frequent; ties go by hash.  Any order gives right results; this
-   one keeps shared passages out of the prefixes.
+1. Count, over all documents, how often each of 2^16 to 2^22 hash slots (by the
+   size of the input; 16 MB at most) is hit by a distinct shingle.  Slot counts
+   order shingles from rare to frequent; ties go by hash.  Any order gives
+   right results; this one keeps shared passages out of the prefixes.  Unlucky
+   neighbours in a slot raise all counts alike, so that a shingle stands out as
+   soon as it is more frequent than the spread of that noise, its square root.
 2. Give each document its set size, a 128-bit digest of its set, its prefix and
    a 256-bit parity sketch.  Documents with equal sets become one node, so the
    size of a group of copies does not matter from here on.
-3. Candidates, first round: in each prefix shingle's list the node in which it
-   stands earliest (the one with the fewest rare shingles of its own) is
-   compared with all the others: as many candidates as list entries.
-4. Length, positional and suffix filters, then one exact verification a pair.
-5. Components of the links found so far.  Second round: of lists that still
-   span several components, all pairs across components go through the same
-   filters; pairs inside a component need no check, they cannot change it.
-6. For link counts only: all pairs inside a component of the first round,
-   block against block, so that a set is sent once a block and not once a pair.
-   With the second round's links these are all links, each counted once.
-The suffix filter bounds the Hamming distance from below: sets are cut into
-256 fixed parts by hash, and part sizes of different parity differ by one at
-least.
+3. Only entries near the start of a prefix can be the first common shingle of a
+   pair whose smaller set they belong to (the index prefix); lists without such
+   an entry have no pair and are left out before any join.
+4. Candidates, first round: in each list the node in which the shingle stands
+   earliest (the one with the fewest rare shingles of its own) is compared with
+   all the others: as many candidates as list entries.
+5. Length, positional and sketch filters, the suffix filter, then one exact
+   verification a pair.  A node with many candidates sends its set once for
+   every HUB_PAIRS of them.
+6. Components of the links found so far.  Second round: of lists that still
+   span several components, entries of the index prefix are joined with larger
+   sets of about their size, across components; pairs inside a component need
+   no check, they cannot change it.
+7. For link counts: all pairs inside a component of the first round, block
+   against block, so that a set is sent once a block and not once a pair.  With
+   the second round's links these are all links, each counted once.
+
+The sketch filter bounds the Hamming distance of two sets from below without
+the sets: 256 fixed parts by hash, and part sizes of different parity differ by
+one at least.  The suffix filter does it with the sets: it cuts both at the
+middle element of one, adds the differences of the parts' sizes, and goes on
+within the parts as long as the sum allows a link.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -35,59 +47,80 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.components import connected_components
 from corpusmill.llm.wordhash import shingle_set, text_bytes
-from corpusmill.sources.workdir import materialize
+from corpusmill.sources.workdir import discard, materialize
 
-SLOT_BITS, SLOT_PARTS = 20, 256
+#: The slot table has one slot for about BYTES_A_SLOT bytes of text, 2^MOST_SLOT_BITS at most.
+LEAST_SLOT_BITS, MOST_SLOT_BITS, BYTES_A_SLOT = 16, 22, 64
+SLOT_PARTS = 256
 SKETCH_WORDS = 4
+#: Depth to which the suffix filter cuts.
+SUFFIX_DEPTH = 3
+#: Candidates that one copy of a node's set serves.
+HUB_PAIRS = 512
 #: Nodes of a component are compared in pairs of blocks of about this size.
 BLOCK_NODES = 256
 
 
-def _slot(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def _slot(shingles: np.ndarray, bits: int) -> np.ndarray:
+    return (shingles >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _count_slots(n: int):
-    """Per task: hits of every slot by the distinct shingles of each text, as SLOT_PARTS pieces."""
+def _narrow(hits: np.ndarray) -> bytes:
+    """Counts in the narrowest type that holds them all; the length tells the type."""
+    return hits.astype(np.min_scalar_type(int(hits.max()))).tobytes()
+
+
+def _wide(data, bits: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"u{len(data) * SLOT_PARTS >> bits}").astype(np.int64)
+
+
+def _count_slots(n: int, bits: int):
+    """Per task: hits of every slot by the distinct shingles of each text, as SLOT_PARTS pieces; pieces without hits are left out."""
 
     def run(batches):
-        total = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        total = np.zeros(1 << bits, dtype=np.int64)
         held, size = [], 0
         for batch in batches:
             for text in text_bytes(batch.column(0)):
-                held.append(_slot(shingle_set(text, n)))
+                held.append(_slot(shingle_set(text, n), bits))
                 size += len(held[-1])
                 if size > 1 << 20:
                     total += np.bincount(np.concatenate(held), minlength=len(total))
                     held, size = [], 0
         if held:
             total += np.bincount(np.concatenate(held), minlength=len(total))
-        if total.any():
-            pieces = total.reshape(SLOT_PARTS, -1)
-            yield pa.record_batch([pa.array(range(SLOT_PARTS), pa.int32()), pa.array([x.tobytes() for x in pieces], pa.binary())], ["part", "hits"])
+        pieces = [(i, _narrow(x)) for i, x in enumerate(total.reshape(SLOT_PARTS, -1)) if x.any()]
+        if pieces:
+            yield pa.record_batch([pa.array([i for i, _ in pieces], pa.int32()), pa.array([x for _, x in pieces], pa.binary())], ["part", "hits"])
 
     return run
 
 
-def _sum_slots(batches):
+def _sum_slots(bits: int):
     """Running sums by piece: a task holds its pieces of the table, however many tasks sent some."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, hits in zip(batch.column(0).to_pylist(), batch.column(1)):
-            got = np.frombuffer(hits.as_buffer(), dtype=np.int64)
-            total[part] = total[part] + got if part in total else got.copy()
-    for part, hits in total.items():
-        yield pa.record_batch([pa.array([part], pa.int32()), pa.array([hits.tobytes()], pa.binary())], ["part", "hits"])
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, hits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                got = _wide(hits, bits)
+                total[part] = total[part] + got if part in total else got
+        for part, hits in total.items():
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([_narrow(hits)], pa.binary())], ["part", "hits"])
+
+    return run
 
 
 def slot_counts(docs: DataFrame, n: int) -> np.ndarray:
-    """Hits of each of 2^SLOT_BITS hash slots over all texts; 4 MB on the driver."""
+    """Hits of each hash slot over all texts; 16 MB on the driver at most."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(max(math.ceil(math.log2(max(size / BYTES_A_SLOT, 1))), LEAST_SLOT_BITS), MOST_SLOT_BITS)
     kind = "part int, hits binary"
-    parts = docs.select("text").mapInArrow(_count_slots(n), kind).repartition("part").mapInArrow(_sum_slots, kind)
-    total = np.zeros((SLOT_PARTS, (1 << SLOT_BITS) // SLOT_PARTS), dtype=np.int64)
+    parts = docs.select("text").mapInArrow(_count_slots(n, bits), kind).repartition("part").mapInArrow(_sum_slots(bits), kind)
+    total = np.zeros((SLOT_PARTS, (1 << bits) // SLOT_PARTS), dtype=np.uint32)
     for row in parts.collect():
-        total[row["part"]] = np.frombuffer(bytes(row["hits"]), dtype=np.int64)
-    return np.minimum(total.ravel(), np.iinfo(np.uint32).max).astype(np.uint32)
+        total[row["part"]] = np.minimum(_wide(bytes(row["hits"]), bits), np.iinfo(np.uint32).max)
+    return total.ravel()
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -101,6 +134,7 @@ def _profile(n: int, num: int, den: int, order):
 
     def run(batches):
         slots = order.value
+        bits = len(slots).bit_length() - 1
         for batch in batches:
             size, digest, prefix, marks = [], [], [], []
             for text in text_bytes(batch.column(1)):
@@ -110,7 +144,7 @@ def _profile(n: int, num: int, den: int, order):
                     digest.append(None), prefix.append(None), marks.append(None)
                     continue
                 keep = len(s) - -(-num * len(s) // den) + 1
-                rare = np.argsort(slots[_slot(s)], kind="stable")[:keep]
+                rare = np.argsort(slots[_slot(s, bits)], kind="stable")[:keep]
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 prefix.append(s[rare].view(np.int64))
                 marks.append(sketch(s))
@@ -133,19 +167,47 @@ def _sets(n: int):
     return run
 
 
+def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int, most: int) -> int:
+    """At least so many elements are in one of two sorted sets only; cutting stops where the bound is over most."""
+    bound = abs(len(x) - len(y))
+    if depth == 0 or bound > most or not len(x) or not len(y):
+        return bound
+    mid = len(y) // 2
+    at = int(np.searchsorted(x, y[mid]))
+    missing = at == len(x) or x[at] != y[mid]
+    left, right = (x[:at], y[:mid]), (x[at + (not missing) :], y[mid + 1 :])
+    apart = abs(len(right[0]) - len(right[1])) + missing
+    low = suffix_bound(*left, depth - 1, most - apart)
+    if low + apart > most:
+        return low + apart
+    return low + missing + suffix_bound(*right, depth - 1, most - low - missing)
+
+
+def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether den * |intersection| >= num * |union|: the suffix filter, then an exact count."""
+    both = len(x) + len(y)
+    needed = -(-num * both // (num + den))
+    if suffix_bound(x, y, SUFFIX_DEPTH, both - 2 * needed) > both - 2 * needed:
+        return False
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    shared = int(np.count_nonzero(large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small))
+    return den * shared >= num * (both - shared)
+
+
 def _verify(num: int, den: int):
-    """Keep the pairs whose shingle sets reach the threshold, counted exactly."""
+    """(a, chunk, b, shingles) sorted by the first three, null b first: the set of a, then those of its candidates.  Keeps the links."""
 
     def run(batches):
+        own = None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                both = np.sort(np.concatenate([p, q]), kind="stable")
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(den * shared >= num * (len(p) + len(q) - shared))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            found = []
+            for a, b, shingles in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                here = np.frombuffer(shingles, dtype=np.uint64)
+                if b is None:
+                    own = here
+                elif linked(own, here, num, den):
+                    found.append((a, b))
+            yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
@@ -172,9 +234,7 @@ def _count_links(num: int, den: int):
             if lo == hi:
                 near[: i + 1] = False
             for j in np.flatnonzero(near).tolist():
-                t = b_sets[j]
-                shared = int(np.count_nonzero(s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t))
-                if den * shared >= num * (len(s) + len(t) - shared):
+                if linked(s, b_sets[j], num, den):
                     gains[i] += members[j]
                     back[j] += left[i][5]
         yield from zip((r[4] for r in left), gains.tolist())
@@ -197,16 +257,22 @@ def _count_links(num: int, den: int):
     return run
 
 
-def _needed(num: int, den: int):
-    """Least intersection of sets of a_n and b_n shingles that link."""
-    return F.expr(f"ceil({num} * (a_n + b_n) / cast({num + den} as double))")
+def _index_prefix(num: int, den: int, n: str = "n") -> str:
+    """How many of the first shingles of a set can be its first one in common with a larger set."""
+    return f"({n} - cast(ceil({2 * num} * {n} / cast({num + den} as double)) as bigint) + 1)"
 
 
-def _passes(num: int, den: int):
+def _passes(num: int, den: int) -> str:
     """Length filter, and positional filter for a first common shingle."""
     length = f"{den} * least(a_n, b_n) >= {num} * greatest(a_n, b_n)"
     position = f"{num + den} * least(a_n - a_pos, b_n - b_pos) >= {num} * (a_n + b_n)"
-    return F.expr(f"({length}) and ({position})")
+    return f"({length}) and ({position})"
+
+
+def _sketches_meet(num: int, den: int) -> str:
+    """Sketch filter: the distance that the sketches show leaves room for a link."""
+    apart = " + ".join(f"bit_count(a_marks[{i}] ^ b_marks[{i}])" for i in range(SKETCH_WORDS))
+    return f"{apart} <= a_n + b_n - 2 * ceil({num} * (a_n + b_n) / cast({num + den} as double))"
 
 
 class _Join:
@@ -216,20 +282,23 @@ class _Join:
         spark = docs.sparkSession
         order = spark.sparkContext.broadcast(slot_counts(self.docs, n))
         kind = "doc_id long, n long, digest binary, prefix array<long>, marks array<long>"
-        self.rows = materialize(self.docs.mapInArrow(_profile(n, num, den, order), kind), "profiles")
-        known = self.rows.filter("n > 0 and doc_id is not null")
+        profiles = materialize(self.docs.mapInArrow(_profile(n, num, den, order), kind), "profiles")
+        known = profiles.filter("n > 0 and doc_id is not null")
         self.nodes = materialize(
             known.groupBy("digest")
             .agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("members"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("marks").alias("marks"))
             .withColumn("node", F.monotonically_increasing_id()),
             "nodes",
         )
+        self.rows = materialize(profiles.select("doc_id", "n", "digest"), "rows")
+        discard(profiles)
 
     def shared_lists(self) -> DataFrame:
-        """(shingle, node, n, pos, head...) of prefix shingles that two nodes or more have."""
-        entries = self.nodes.select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
-        heads = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("pos", "n", "node")).alias("head")).filter("rows > 1").drop("rows")
-        return materialize(entries.join(heads, "shingle").select("shingle", "node", "n", "pos", "head"), "lists")
+        """(shingle, node, n, pos, early, head...) of prefix shingles that two nodes or more have, one of them in its index prefix."""
+        entries = self.nodes.select("node", "n", F.posexplode("prefix").alias("pos", "shingle")).withColumn("early", F.expr(f"pos < {_index_prefix(self.num, self.den)}"))
+        heads = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.max("early").alias("any"), F.min(F.struct("pos", "n", "node")).alias("head"))
+        heads = heads.filter("rows > 1 and any").select("shingle", "head")
+        return materialize(entries.join(heads, "shingle").select("shingle", "node", "n", "pos", "early", "head"), "lists")
 
     def sets(self, asked: DataFrame) -> DataFrame:
         """node, shingles of asked(node, digest, first_doc)."""
@@ -237,21 +306,44 @@ class _Join:
         sets = texts.mapInArrow(_sets(self.n), "digest binary, shingles binary").dropDuplicates(["digest"])
         return materialize(sets.join(asked.select("node", "digest"), "digest").select("node", "shingles"), "sets", "lz4")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Suffix filter on sketches, then exact verification; pairs(a, b, a_n, b_n) are distinct."""
+    def marked(self, pairs: DataFrame) -> DataFrame:
+        """The pairs(a, b, a_n, b_n) that pass the sketch filter."""
         marks = self.nodes.select("node", "marks")
-        sketched = pairs.join(marks.select(F.col("node").alias("a"), F.col("marks").alias("a_marks")), "a").join(
-            marks.select(F.col("node").alias("b"), F.col("marks").alias("b_marks")), "b"
-        )
-        apart = " + ".join(f"bit_count(a_marks[{i}] ^ b_marks[{i}])" for i in range(SKETCH_WORDS))
-        near = materialize(sketched.filter(F.expr(apart) <= F.col("a_n") + F.col("b_n") - 2 * _needed(self.num, self.den)).select("a", "b"), "pairs")
-        asked = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        asked = materialize(self.nodes.select("node", "digest", "first_doc").join(asked, "node"), "asked")
-        sets = self.sets(asked)
-        full = near.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_set")), "b").join(
-            sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set")), "a"
-        )
-        return full.select("a", "b", "a_set", "b_set").mapInArrow(_verify(self.num, self.den), "a long, b long")
+        both = pairs.join(marks.select(F.col("node").alias("a"), F.col("marks").alias("a_marks")), "a").join(marks.select(F.col("node").alias("b"), F.col("marks").alias("b_marks")), "b")
+        return both.filter(_sketches_meet(self.num, self.den)).select("a", "b")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The links among pairs(a, b), which are distinct and written."""
+        ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+        asked = materialize(self.nodes.select("node", "digest", "first_doc").join(ends, "node"), "asked")
+        sets, degree = self.sets(asked), asked.select("node", "degree")
+        # the end with more candidates is the hub; its set goes once to every HUB_PAIRS of them, the other's with the pair
+        met = pairs.join(degree.select(F.col("node").alias("a"), F.col("degree").alias("a_degree")), "a").join(degree.select(F.col("node").alias("b"), F.col("degree").alias("b_degree")), "b")
+        turn = F.col("a_degree") < F.col("b_degree")
+        met = met.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"), F.ceil(F.greatest("a_degree", "b_degree") / HUB_PAIRS).alias("parts"))
+        met = met.withColumn("chunk", F.pmod(F.xxhash64("b"), F.col("parts"))).drop("parts")
+        hubs = met.select("a", "chunk").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "shingles")
+        others = met.join(sets.withColumnRenamed("node", "b"), "b").select("a", "chunk", "b", "shingles")
+        rows = hubs.unionAll(others).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.asc_nulls_first("b"))
+        links = materialize(rows.mapInArrow(_verify(self.num, self.den), "a long, b long"), "links")
+        discard(asked, sets)
+        return links
+
+    def across_components(self, lists: DataFrame, comp: DataFrame, known: DataFrame) -> DataFrame:
+        """Pairs of different components that share a list and pass the filters, without the known ones."""
+        spans = materialize(lists.drop("head").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "spans")
+        mixed = spans.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("shingle")
+        # linked sets differ in size by the threshold at most, so classes of that width meet their own and the next one
+        size = F.floor(F.log(F.col("n").cast("double")) / max(-math.log(self.num / self.den), 1e-6)).cast("long")
+        entries = spans.join(mixed, "shingle").join(self.nodes.select("node", "marks"), "node").withColumn("size", size)
+        a, b = ([F.col(c).alias(f"{side}_{c}" if c != "node" else side) for c in ("node", "n", "pos", "comp", "marks")] for side in "ab")
+        early = entries.filter("early").select("shingle", "size", *a)
+        late = entries.select("shingle", F.explode(F.array(F.col("size"), F.col("size") - 1, F.col("size") - 2)).alias("size"), *b)
+        pairs = early.join(late, ["shingle", "size"]).filter("a_comp != b_comp and (a_n < b_n or a_n = b_n and a < b)")
+        pairs = pairs.filter(_passes(self.num, self.den)).filter(_sketches_meet(self.num, self.den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = materialize(pairs.distinct().join(known, ["a", "b"], "left_anti"), "pairs")
+        discard(spans)
+        return found
 
     def run(self) -> DataFrame:
         lists = self.shared_lists()
@@ -263,30 +355,22 @@ class _Join:
             .distinct()
         )
         first = materialize(first, "candidates")
-        links = materialize(self.verified(first), "links")
+        near = materialize(self.marked(first), "pairs")
+        links = self.verified(near)
         comp = self.first_comp = connected_components(links, "a", "b")
-        spans = lists.drop("head").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        spans = materialize(spans, "spans")
-        mixed = spans.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("shingle")
-        open_lists = spans.join(mixed, "shingle")
-        side = lambda k: open_lists.select("shingle", F.col("node").alias(k), F.col("n").alias(f"{k}_n"), F.col("pos").alias(f"{k}_pos"), F.col("comp").alias(f"{k}_comp"))
-        rest = (
-            side("a")
-            .join(side("b"), "shingle")
-            .filter("a < b and a_comp != b_comp")
-            .filter(_passes(self.num, self.den))
-            .select("a", "b", "a_n", "b_n")
-            .distinct()
-            .join(first.select("a", "b"), ["a", "b"], "left_anti")
-        )
-        more = self.across = materialize(self.verified(rest), "links")
+        rest = self.across_components(lists, comp, first.select("a", "b"))
+        more = self.across = self.verified(rest)
+        discard(lists, first, near, rest, links)
         if not more.isEmpty():
             # components hang together through their smallest nodes
             links = materialize(more.union(comp.filter("node != comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))), "links")
             comp = connected_components(links, "a", "b")
+            discard(links)
         named = self.nodes.select("node", "digest", "first_doc").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         smallest = named.groupBy("comp").agg(F.min("first_doc").alias("component_id"))
         self.classes = materialize(named.join(smallest, "comp").select("digest", "component_id"), "classes")
+        if comp is not self.first_comp:
+            discard(comp)
         return self.by_row(self.classes)
 
     def by_row(self, classes: DataFrame, *more) -> DataFrame:
@@ -299,7 +383,8 @@ class _Join:
         asked = materialize(self.nodes.select("node", "digest", "first_doc", "members").join(self.first_comp, "node"), "asked")
         parts = asked.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).cast("int").alias("parts"))
         placed = asked.join(parts, "comp").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
-        placed = placed.join(self.sets(asked), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        self.linked_sets = self.sets(asked)
+        placed = placed.join(self.linked_sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         blocks = placed.select("comp", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "members", "shingles")
         inside = blocks.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi").mapInArrow(_count_links(self.num, self.den), "node long, links long")
         size = self.nodes.select("node", "members")
@@ -314,7 +399,7 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
 
     Two texts link when den * |intersection| >= num * |union| of their sets of
     n-word shingles (lower-case A-Z, words between ASCII white space; a shorter
-    text is one shingle).  Returns one row per row of docs: doc_id, n_shingles,
+    text is one shingle), 0 < num < den.  Returns one row per row of docs: doc_id, n_shingles,
     component_id (the smallest doc_id that links reach).
 
     Edge cases: null and empty texts and texts of white space have no shingles
@@ -323,7 +408,10 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     documents of their own; other columns are ignored; an empty table gives an
     empty result.
     """
-    return _Join(docs, n, num, den).run()
+    join = _Join(docs, n, num, den)
+    found = join.run()
+    discard(join.first_comp, join.across, join.nodes)
+    return found
 
 
 def similarity_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -335,6 +423,7 @@ def similarity_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     join = _Join(docs, n, num, den)
     join.run()
     classes = materialize(join.classes.join(join.link_counts(), "digest"), "classes")
+    discard(join.classes, join.linked_sets, join.first_comp, join.across, join.nodes)
     return join.by_row(classes, F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
 
 

@@ -1,7 +1,7 @@
 """The queries of the llm operators over the driver's tables, and their SQL twins where SQL can express them.
 
 Without a SQL twin, and tested against brute force or held-out labels instead:
-op5 (dynamic programming), op6 (a trained model), the added spans of op8 (a trained model; op8_base_spans has the others), link counts of op10 (its twin has the components).
+op5 (dynamic programming), op6 (a trained model), the added spans of op8 (a trained model; op8_base_spans has the others).
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import decontaminate, exact_topk, license_scan, mixing, quality_gam, role_repair, secrets, url_filter, warc
-from corpusmill.llm.ngram_jaccard import similarity_components, similarity_links
+from corpusmill.llm.ngram_jaccard import similarity_links
 from corpusmill.sources.tables import table
 
 QUERIES: dict = {}
@@ -80,11 +80,6 @@ def op9_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity_components(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, num=85, den=100)
-
-
-@query
-def op10_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_links(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, num=85, den=100)
 
 
@@ -145,6 +140,7 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)),
 r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.other = l.x),
-m AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
-SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM m LEFT JOIN n USING (doc_id)
+m AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id),
+k AS (SELECT x AS doc_id, count(*) AS n_links FROM l GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links FROM m LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 """

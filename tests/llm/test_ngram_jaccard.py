@@ -1,4 +1,5 @@
 import re
+import time
 from itertools import combinations
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from corpusmill.llm import ngram_jaccard, wordhash
 from corpusmill.llm.components import connected_components
 from corpusmill.llm.ngram_jaccard import keep_one_per_component, similarity_components, similarity_links
+from pyspark.sql import functions as F
 
 
 def brute(rows, n, num, den):
@@ -101,3 +103,33 @@ def test_hashes_do_not_depend_on_place_or_segments(monkeypatch):
     assert whole.tolist() == alone
     monkeypatch.setattr(wordhash, "SEGMENT", 128)
     assert wordhash.word_hashes(np.frombuffer(text, dtype=np.uint8)).tolist() == alone
+
+
+def test_suffix_bound_is_a_lower_bound():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        x, y = (np.unique(rng.integers(0, 60, rng.integers(0, 50))).astype(np.uint64) for _ in range(2))
+        apart = len(np.setxor1d(x, y))
+        for depth in range(5):
+            assert abs(len(x) - len(y)) <= ngram_jaccard.suffix_bound(x, y, depth, 100) <= apart
+        assert ngram_jaccard.suffix_bound(x, y, 8, 100) == apart
+        assert (ngram_jaccard.suffix_bound(x, y, 3, 4) > 4) <= (apart > 4)
+
+
+def test_pages_of_one_template_meet_in_no_list(spark):
+    """Two words of each page are its own: no two pages link, all share one list of their prefixes."""
+    frame = [f"frame{i}" for i in range(34)]
+    pages = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.lit(w) if i not in (8, 24) else F.concat(F.lit(f"own{i}x"), F.col("id")) for i, w in enumerate(frame)]).alias("text"))
+    start = time.monotonic()
+    found = similarity_components(pages, 4, 85, 100)
+    assert found.filter("component_id != doc_id").isEmpty() and found.count() == 20_000
+    assert time.monotonic() - start < 45
+
+
+@pytest.mark.parametrize("hub", [512, 2])
+def test_hubs_send_their_set_in_parts(spark, monkeypatch, hub):
+    monkeypatch.setattr(ngram_jaccard, "HUB_PAIRS", hub)
+    monkeypatch.setattr(ngram_jaccard, "MOST_SLOT_BITS", 16)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted((tuple(r) for r in similarity_components(docs, 5, 80, 100).collect()), key=str) == brute(rows, 5, 80, 100)

@@ -1,15 +1,18 @@
 """Benchmark decontamination: size-partitioned MinHash containment.  DataFrame functions only.
 
 An item is contained in a document if the document has at least num / den of
-the item's distinct word shingles.  Items are partitioned by size, that is by
-their number m of distinct shingles, and each partition has its own sketch
-length k = m - ceil(m * num / den) + 1.  An item's sketch is the k smallest of
-its shingles' hashes (a bottom-k MinHash).  A document that contains the item
-lacks m - ceil(m * num / den) of its shingles at most, so it shares a sketch
-hash with it for certain, whatever the document's length: candidates are
-complete, unlike those of banded signatures, whose chance to meet falls with
-the document's length.  Candidates are then verified by exact containment over
-whole texts.
+the item's distinct word shingles.  Items are partitioned by size: a partition
+holds those whose number m of distinct shingles has the same binary logarithm.
+Each partition has its own sketch length, twice what its largest items may lack
+and two more; an item's sketch is a bottom-k MinHash, its k smallest shingle
+hashes.  Documents are long and items short, so documents are not sketched
+(their signatures would hardly ever meet); all their hashes are compared with
+the sketches, and the share of a sketch that a document has estimates the
+containment.  A document that contains the item lacks gap = m - ceil(m * num /
+den) of its shingles at most, so it has k - gap hashes of the sketch for
+certain: pairs below that estimate are left out without a loss (recall 1),
+whatever the document's length.  What remains is verified by exact containment,
+shingle by shingle as text, over whole texts.
 """
 
 from __future__ import annotations
@@ -17,33 +20,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.sources.workdir import materialize
+from corpusmill.sources.workdir import discard, materialize
 
-#: Sketches with at most so many hashes (16 bytes each) are broadcast; more are joined by shuffle.
-MAX_BROADCAST_HASHES = 500_000
+#: Sketches with at most so many hashes (24 bytes each) and items with at most so many shingles (under 100 bytes each) are broadcast; more are joined by shuffle.
+MAX_BROADCAST_HASHES, MAX_BROADCAST_SHINGLES = 500_000, 200_000
 WORD = r"[^\p{L}\p{N}]+"
 
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), WORD), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), WORD), "")
 
 
-def shingles(w: Column, n: int) -> Column:
-    """Hashes of all runs of n words; of the whole if it is shorter; none without words."""
+def _runs(x: Column, n: int, whole, run) -> Column:
+    """run(x, i) for the start i (from 0) of each run of n elements; whole(x) if x is shorter; nothing for an empty x."""
 
-    def runs(x: Column) -> Column:
-        last = F.greatest(F.size(x) - (n - 1), F.lit(1))
-        return F.when(F.size(x) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(x, i, n))))
+    def each(x: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(x) - n, F.lit(0)))
+        return F.when(F.size(x) >= n, F.transform(starts, lambda i: run(x, i))).otherwise(F.when(F.size(x) > 0, F.array(whole(x))).otherwise(F.array()))
 
     # a lambda's variable is bound once; an expression would be evaluated again for every run
-    return F.get(F.transform(F.array(w), runs), F.lit(0))
+    return F.get(F.transform(F.array(x), each), F.lit(0))
+
+
+def shingle_hashes(w: Column, n: int) -> Column:
+    """Hashes of all runs of n words; of the whole if it is shorter; none without words."""
+    hashed = F.transform(w, lambda x: F.xxhash64(x))
+    return _runs(hashed, n, F.xxhash64, lambda x, i: F.xxhash64(*[F.get(x, i + j) for j in range(n)]))
+
+
+def shingle_texts(w: Column, n: int) -> Column:
+    """The same runs, their words joined by blanks."""
+    return _runs(w, n, lambda x: F.array_join(x, " "), lambda x, i: F.array_join(F.slice(x, i + 1, n), " "))
 
 
-def item_shingles(items: DataFrame, n: int) -> DataFrame:
-    """item_id, m, s (sorted distinct shingle hashes) of the items that have any word and an id."""
-    w = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("item_id is not null").withColumn("s", F.array_sort(F.array_distinct(shingles(words(F.col("text")), n))))
-    return w.filter(F.size("s") > 0).select("item_id", F.size("s").alias("m"), "s").dropDuplicates()
+def item_sketches(items: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """item_row, item_id, m, partition, k, gap, z (distinct (hash, shingle), sorted) of the different items that have any word and an id."""
+    w = items.select(F.col("item_id").cast("long"), words(F.col("text").cast("string")).alias("w")).filter("item_id is not null and w is not null")
+    z = F.array_sort(F.array_distinct(F.arrays_zip(shingle_hashes(F.col("w"), n).alias("h"), shingle_texts(F.col("w"), n).alias("s"))))
+    sized = w.select("item_id", z.alias("z")).filter(F.size("z") > 0).dropDuplicates().withColumn("m", F.size("z")).withColumn("partition", F.floor(F.log2("m")).cast("int"))
+    gap = lambda size: f"(({size}) - cast(ceil(({size}) * {num} / {float(den)}) as int))"
+    largest = "cast(power(2, partition + 1) as int) - 1"
+    return sized.withColumns({"gap": F.expr(gap("m")), "k": F.least("m", F.expr(f"2 * {gap(largest)} + 2")), "item_row": F.monotonically_increasing_id()})
 
 
 def containment_pairs(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -55,22 +73,24 @@ def containment_pairs(docs: DataFrame, items: DataFrame, n: int = 5, num: int =
     one id count as one text each and their pair is returned once, with the
     largest count; other columns are ignored; empty tables give no pairs.
     """
-    bench = materialize(item_shingles(items, n), "items")
-    keep = F.col("m") - F.ceil(F.col("m") * num / F.lit(float(den))).cast("int") + 1
-    sketch = materialize(bench.select("item_id", "m", "s", F.explode(F.slice("s", F.lit(1), keep)).alias("h")), "sketches")
-    probes = sketch.select("h").distinct()
-    small = probes.count() <= MAX_BROADCAST_HASHES
+    bench = materialize(item_sketches(items, n, num, den), "items")
+    sketches = materialize(bench.select("item_row", (F.col("k") - F.col("gap")).alias("least"), F.explode(F.slice("z", 1, F.col("k"))).alias("x")).select("item_row", "least", F.col("x.h").alias("h")).distinct(), "sketches")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null and text is not null")
-    near = lambda side: F.broadcast(side) if small else side
-    found = texts.select("doc_id", shingles(words(F.col("text")), n).alias("all")).select("doc_id", F.explode("all").alias("h"))
-    # candidates: distinct (document, item) that share a sketch hash
-    hits = found.join(near(sketch.select("h", "item_id").distinct()), "h").select("doc_id", "item_id").distinct()
-    candidates = materialize(hits, "candidates")
+    rows = lambda side: side.withColumn("row", F.monotonically_increasing_id())
+    near = lambda side, small: F.broadcast(side) if small else side
+    # estimated containment: the distinct hashes of each sketch that a row has; hits of a row meet in its own task first
+    hashes = rows(texts).select("row", "doc_id", F.explode(shingle_hashes(words(F.col("text")), n)).alias("h"))
+    hits = hashes.join(near(sketches, sketches.count() <= MAX_BROADCAST_HASHES), "h").groupBy("row", "doc_id", "item_row", "least").agg(F.countDistinct("h").alias("hits"))
+    candidates = materialize(hits.filter("hits >= least").select("doc_id", "item_row").distinct(), "candidates")
     # exact containment, for the candidates' documents alone
-    again = texts.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.array_distinct(shingles(words(F.col("text")), n)).alias("all"))
-    sized = candidates.join(again, "doc_id").join(bench, "item_id")
-    shared = sized.select("item_id", "doc_id", F.size(F.array_intersect("s", "all")).cast("long").alias("shared"), F.col("m").cast("long").alias("item_shingles"))
-    return shared.filter(F.col("shared") * den >= F.col("item_shingles") * num).groupBy("item_id", "doc_id").agg(F.max("shared").alias("shared"), F.max("item_shingles").alias("item_shingles"))
+    parts = materialize(bench.select("item_row", "item_id", F.col("m").cast("long").alias("item_shingles"), F.explode("z").alias("x")).select("item_row", "item_id", "item_shingles", F.col("x.s").alias("s")), "shingles")
+    again = rows(texts.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")).select("row", "doc_id", F.explode(F.array_distinct(shingle_texts(words(F.col("text")), n))).alias("s"))
+    met = again.join(near(parts, parts.count() <= MAX_BROADCAST_SHINGLES), "s").join(candidates, ["doc_id", "item_row"], "left_semi")
+    shared = met.groupBy("row", "doc_id", "item_row", "item_id", "item_shingles").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") * den >= F.col("item_shingles") * num)
+    # a third of all documents may hold one item: pairs, not documents, are dealt
+    found = materialize(shared.groupBy("item_id", "doc_id").agg(F.max("shared").alias("shared"), F.max("item_shingles").alias("item_shingles")), "pairs")
+    discard(bench, sketches, candidates, parts)
+    return found
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:

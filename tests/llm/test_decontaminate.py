@@ -43,6 +43,7 @@ def test_equal_to_brute_force(spark, monkeypatch):
     assert len(expected) > 40
     for bound in (d.MAX_BROADCAST_HASHES, 0):
         monkeypatch.setattr(d, "MAX_BROADCAST_HASHES", bound)
+        monkeypatch.setattr(d, "MAX_BROADCAST_SHINGLES", bound)
         assert sorted(tuple(r) for r in d.containment_pairs(left, right).collect()) == expected
     clean = {r["doc_id"] for r in d.decontaminate(left, right).collect()}
     assert clean == {k for k, _ in docs} - {k for _, k, *_ in expected}
@@ -53,3 +54,14 @@ def test_empty_tables(spark):
     assert d.containment_pairs(docs.limit(0), items).collect() == []
     assert d.containment_pairs(docs, items.limit(0)).collect() == []
     assert d.decontaminate(docs, items.limit(0)).count() == 1
+
+
+def test_partitions_have_sketches_of_their_own(spark):
+    rng = random.Random(8)
+    items = [(m, " ".join(f"w{rng.randrange(10**6)}" for _ in range(m + 4))) for m in (1, 2, 3, 5, 12, 31, 32, 63, 64, 200, 1000)]
+    got = {r["item_id"]: r for r in d.item_sketches(spark.createDataFrame(items, "item_id long, text string"), 5, 80, 100).collect()}
+    for m, r in got.items():
+        largest = 2 ** m.bit_length() - 1
+        assert (r["m"], r["partition"], r["gap"]) == (m, m.bit_length() - 1, m - -(-m * 4 // 5))
+        assert r["k"] == min(m, 2 * (largest - -(-largest * 4 // 5)) + 2) and r["k"] > r["gap"]
+        assert [x["h"] for x in r["z"]] == sorted(x["h"] for x in r["z"])

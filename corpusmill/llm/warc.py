@@ -4,20 +4,24 @@ Spark's text writer makes the files: a record is its header lines, an empty
 line and the payload, and the writer's line separator is the two line ends
 that close a record.  So the archives come about under Spark's commit protocol
 (a lost executor leaves no half of a file) and in any store that Spark can
-write.  They are read back as byte streams and cut by Content-Length, so a
-payload may hold anything.
+write.  Spark's text reader streams them back with the same separator; a task
+joins the pieces again and cuts records by Content-Length, so a payload may hold
+anything and no more than one record is held, however large the file.
+
+Payloads stay where they are: headers alone are shuffled by digest, revisit
+records are written from headers, and responses are the records of the first
+archive that are no revisits.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.sources.workdir import materialize, new_path
+from corpusmill.sources.workdir import discard, materialize, new_path
 
 END = "\r\n\r\n"
 MIN_PAYLOAD = 100
@@ -87,7 +91,15 @@ def parse(chunks):
         return True
 
     end = END.encode()
-    while until(lambda: end in held):
+    while True:
+        while held[:2] == b"\r\n" or (len(held) < 2 and until(lambda: len(held) >= 2)):
+            if held[:2] != b"\r\n":
+                break
+            del held[:2]
+        if not until(lambda: end in held):
+            if held:
+                raise ValueError("a WARC record is cut short")
+            return
         at = held.index(end)
         lines = held[:at].decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
@@ -100,13 +112,6 @@ def parse(chunks):
         del held[: at + length + len(end)]
 
 
-def _gunzip(data: bytes, piece: int = 1 << 20):
-    unpack = zlib.decompressobj(31)
-    for lo in range(0, len(data), piece):
-        yield unpack.decompress(data[lo : lo + piece])
-    yield unpack.flush()
-
-
 def _rows(with_block: bool):
     names = [*_FIELDS, *(["block"] if with_block else [])]
     kinds = {**{k: v[1] for k, v in _FIELDS.items()}, "block": pa.string()}
@@ -115,33 +120,32 @@ def _rows(with_block: bool):
         return pa.record_batch([pa.array([r[k] for r in rows], kinds[k]) for k in names], names)
 
     def run(batches):
-        for files in batches:
-            for content in files.column(0):
+        pieces = (piece + END.encode() for lines in batches for piece in lines.column(0).cast(pa.binary()).to_pylist())
+        rows, size = [], 0
+        for head, block in parse(pieces):
+            row = {k: head.get(h) for k, (h, _) in _FIELDS.items()}
+            for k in ("page_id", "payload_bytes", "refers_to"):
+                row[k] = None if row[k] is None else int(row[k])
+            row["payload_digest"] = (row["payload_digest"] or "").removeprefix("sha256:") or None
+            if row["payload_digest"] is None:  # a fresh archive: measure the payload
+                row |= {"payload_digest": hashlib.sha256(block).hexdigest(), "payload_bytes": len(block)}
+            if with_block:
+                row["block"] = block.decode("utf-8")
+            rows.append(row)
+            size += len(block) if with_block else 200
+            if size > 4 << 20 or len(rows) >= 5000:
+                yield batch(rows)
                 rows, size = [], 0
-                for head, block in parse(_gunzip(content.as_buffer().to_pybytes())):
-                    row = {k: head.get(h) for k, (h, _) in _FIELDS.items()}
-                    for k in ("page_id", "payload_bytes", "refers_to"):
-                        row[k] = None if row[k] is None else int(row[k])
-                    row["payload_digest"] = (row["payload_digest"] or "").removeprefix("sha256:") or None
-                    if row["payload_digest"] is None:  # a fresh archive: measure the payload
-                        row |= {"payload_digest": hashlib.sha256(block).hexdigest(), "payload_bytes": len(block)}
-                    if with_block:
-                        row["block"] = block.decode("utf-8")
-                    rows.append(row)
-                    size += len(block) if with_block else 200
-                    if size > 4 << 20 or len(rows) >= 5000:
-                        yield batch(rows)
-                        rows, size = [], 0
-                if rows:
-                    yield batch(rows)
+        if rows:
+            yield batch(rows)
 
     return run
 
 
 def read_archive(spark: SparkSession, path: str, with_block: bool = False) -> DataFrame:
-    """The records of all files of an archive: headers, with digest and length of the payload, and on demand the block."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(_rows(with_block), _SCHEMA + (", block string" if with_block else ""))
+    """The records of all gzip files of an archive: headers, with digest and length of the payload, and on demand the block."""
+    lines = spark.read.option("lineSep", END).option("pathGlobFilter", "*.gz").text(path)
+    return lines.mapInArrow(_rows(with_block), _SCHEMA + (", block string" if with_block else ""))
 
 
 def archive_pages(pages: DataFrame, path: str) -> None:
@@ -178,13 +182,15 @@ def resolve(headers: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
 
 def deduplicate(spark: SparkSession, source: str, target: str, min_payload: int = MIN_PAYLOAD) -> None:
     """Rewrite an archive: records whose payload an earlier page has become revisit records with fresh headers and no block."""
-    headers = materialize(read_archive(spark, source).select("page_id", "payload_digest", "payload_bytes", "record_id"), "headers")
-    repeats = resolve(headers, min_payload)
-    records = read_archive(spark, source, with_block=True).drop("refers_to", "record_type")
-    again = F.col("refers_to_record").isNotNull()
-    # left join on the unique record id; blocks of repeats are not written
-    joined = records.join(repeats, "record_id", "left")
-    write_records(joined.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "block": F.when(again, "").otherwise(F.col("block"))}), target)
+    headers = materialize(read_archive(spark, source).select("page_id", "uri", "payload_digest", "payload_bytes", "record_id"), "headers")
+    # written first: of a table whose size is known Spark sees whether it can be broadcast, which spares the payloads a shuffle
+    repeats = materialize(resolve(headers, min_payload), "repeats")
+    none = lambda kind: F.lit(None).cast(kind)
+    responses = read_archive(spark, source, with_block=True).join(repeats.select("record_id"), "record_id", "left_anti")
+    responses = responses.withColumns({"record_type": F.lit("response"), "refers_to": none("long"), "refers_to_record": none("string")})
+    revisits = headers.join(repeats, "record_id").withColumns({"record_type": F.lit("revisit"), "block": F.lit("")})
+    write_records(responses.unionByName(revisits), target)
+    discard(headers, repeats)
 
 
 def warc_round_trip(pages: DataFrame, folder: str | None = None, min_payload: int = MIN_PAYLOAD) -> DataFrame:

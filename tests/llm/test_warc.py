@@ -45,6 +45,20 @@ def test_repeated_rows_and_null_ids(spark):
     assert got == sorted([(1, "response", None), (1, "revisit", 1), (None, "revisit", 1), (None, "response", None)], key=str)
 
 
+def test_payloads_around_the_separator(spark):
+    """Payloads that begin, end and consist of parts of the separator, and a large one."""
+    ends = ["", "\r", "\n", "\r\n", "\r\n\r", "\r\n\r\n", "\r\n\r\n\r\n", "\n\r\n\r", "WARC/1.1\r\n\r\n"]
+    rows = [(i, "u", a + body + b) for i, (a, body, b) in enumerate((a, body, b) for a in ends for body in ("", "x" * 120) for b in ends)]
+    rows.append((len(rows), "u", ("line\r\n\r\n" * 4_000_000)))
+    pages = spark.createDataFrame(rows[:-1], "page_id long, url string, html string").union(spark.range(len(rows) - 1, len(rows)).selectExpr("id", "'u'", "repeat('line\\r\\n\\r\\n', 4000000)"))
+    got = {r["page_id"]: r for r in warc.warc_round_trip(pages).collect()}
+    first = {}
+    for key, _, html in rows:
+        r, other = got[key], first.setdefault(html, key) if len(html) >= 100 else key
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(html), hashlib.sha256(html.encode()).hexdigest())
+        assert r["refers_to"] == (None if other == key else other)
+
+
 def test_empty_table(spark):
     assert warc.warc_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 

@@ -2,19 +2,23 @@ import hashlib
 import math
 from collections import Counter
 
+import duckdb
+from corpusmill.llm import mixing
 from corpusmill.llm.mixing import mix_sources
 
 
 def copies(key, mean):
-    u = int(hashlib.md5(f"mix:{'' if key is None else key}".encode()).hexdigest()[:13], 16) / 16**13
-    fixed = max(0, math.ceil(mean - 16))
-    n, p = 0, math.exp(-(mean - fixed))
-    total = p
-    while total <= u:
-        n += 1
-        p *= (mean - fixed) / n
-        total += p
-    return fixed + n
+    parts, n = max(1, math.ceil(mean / 16)), 0
+    for part in range(parts):
+        u = int(hashlib.md5((f"mix:{'' if key is None else key}" + (f":part:{part}" if part else "")).encode()).hexdigest()[:13], 16) / 16**13
+        j, p = 0, math.exp(-mean / parts)
+        total = p
+        while total <= u:
+            j += 1
+            p *= mean / parts / j
+            total += p
+        n += j
+    return n
 
 
 def rows():
@@ -48,3 +52,20 @@ def test_given_weights_and_total(spark):
 
 def test_empty(spark):
     assert mix_sources(spark.createDataFrame([], "doc_id long, source string")).collect() == []
+
+
+def test_large_means_equal_the_sql_twin_and_spread_like_poisson(spark, tmp_path, monkeypatch):
+    docs = [(i, "t", "en", "big", 1) for i in range(9000)] + [(9000 + i, "u", "en", "small", 1) for i in range(90)] + [(9990, "v", "en", None, 1)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    table.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(db.execute(mixing.MIX_SQL).fetchall(), key=str)
+    for block in (mixing.BLOCK, 3):
+        monkeypatch.setattr(mixing, "BLOCK", block)
+        got = [tuple(r) for r in mix_sources(table).collect()]
+        assert sorted(got, key=str) == want
+        assert [r[-1] for r in got] == sorted(r[-1] for r in got)
+    times = list(Counter(r[0] for r in got if r[3] == "small").values())  # mean 33.7
+    mean = sum(times) / len(times)
+    assert 0.6 < sum((t - mean) ** 2 for t in times) / len(times) / mean < 1.6

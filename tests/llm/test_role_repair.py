@@ -65,5 +65,27 @@ def test_repaired_conversations_are_legal_and_cheapest(spark, piece):
     assert texts[50]["cost"] == rr.MERGE
 
 
+@pytest.mark.parametrize("piece", [4, 256])
+def test_crowded_turns(spark, piece):
+    """Many rows of one turn, of no turn and of no conversation are cut into pieces, and cost what they cost in one."""
+    rng = random.Random(piece)
+    rows = [(1, None, "user", "x")] * 3000 + [(1, 7, rng.choice(["user", "assistant", None, "tool"]), f"t{i}") for i in range(3000)]
+    rows += [(None, 2, "assistant", "y")] * 2500 + [(None, 3, "user", "z"), (2, 0, "user", "a"), (2, 1, "assistant", "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    fixed = rr.repair_turns(df, piece).collect()
+    assert sorted((str(r["conv_id"]), str(r["turn"]), str(r["role"])) for r in fixed) == sorted((str(c), str(t), str(r)) for c, t, r, _ in rows)
+    sizes = {}
+    for r in fixed:
+        key = r["conv_id"], r["piece"], r["sub_piece"]
+        sizes[key] = sizes.get(key, 0) + 1
+    assert max(sizes.values()) <= 4 * piece + 8
+    last = lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "")
+    for conv in (1, 2, None):
+        roles = [rr.known_role(r[2]) for r in sorted((r for r in rows if r[0] == conv), key=last)]
+        assert {r["cost"] for r in fixed if r["conv_id"] == conv} == {least_cost(roles)}
+        paid = sum(rr.MERGE * (r["action"] == "merge") + rr.RELABEL * r["relabelled"] + rr.INSERT * r["inserted"] for r in fixed if r["conv_id"] == conv)
+        assert paid == least_cost(roles)
+
+
 def test_empty(spark):
     assert rr.repair_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []

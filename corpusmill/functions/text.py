@@ -2,29 +2,32 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Unicode white space as a Java character class; plain \s is ASCII.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
-# Accented letters and their plain forms, both lower and upper case.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
-
-
 def words(text: Column) -> Column:
     """Words between white space, none empty."""
-    return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACE + "+"), "")
 
 
 def strip(text: Column, chars: str = SPACE) -> Column:
     return F.regexp_replace(text, rf"\A{chars}+|{chars}+\z", "")
 
 
+@F.arrow_udf(StringType())
+def _decomposed(text: pa.Array) -> pa.Array:
+    return pc.replace_substring_regex(pc.utf8_normalize(text, form="NFKD"), pattern=r"\p{Mn}+", replacement="")
+
+
 def strip_accents(text: Column) -> Column:
-    """Plain letters for precomposed Latin letters; combining marks go."""
-    return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"\p{M}", "")
+    """The compatibility decomposition (NFKD) without non-spacing marks; plain ASCII texts are not sent to Python."""
+    return F.coalesce(_decomposed(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def normalize(text: Column) -> Column:

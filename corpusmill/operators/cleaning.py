@@ -17,8 +17,13 @@ def length_filter(docs: DataFrame, least: int = MIN_CHARS, most: int = MAX_CHARS
 
 
 def redact_email(text: Column) -> Column:
+    """Runs of black characters with an @ and a later dot inside.
+
+    A run that does not match from its first character does not match from
+    a later one, so each run is tried once.
+    """
     black = "[^" + SPACE[1:]
-    return F.regexp_replace(text, rf"{black}+@{black}+\.{black}+", EMAIL_MARK)
+    return F.regexp_replace(text, rf"(?<!{black}){black}[^@{SPACE[1:-1]}]*+@{black}+\.{black}+", EMAIL_MARK)
 
 
 def clean(text: Column, collapse: bool = True, redact: bool = True) -> Column:

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import ngrams, normalize, words
+from corpusmill.functions.shingles import sets_of
+from corpusmill.functions.text import normalize
 from corpusmill.operators.dedup import PERMUTATIONS, bands_and_rows, minhash
 from corpusmill.sources.workdir import materialize
 
 NGRAM, OVERLAP, SHINGLE, FUZZY, INDEX = 10, 0.5, 5, 0.7, 0.5
 DETAILS = 100
+#: Distinct n-grams of the items up to this number (8 bytes each) are broadcast; more are joined by shuffle.
+MAX_BROADCAST_GRAMS = 2_000_000
 
 
 def normalized(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, norm: computed once and used by all methods."""
-    return rows.select(key, normalize(F.col(text)).alias("norm"))
+    """key, norm: written, so that all methods read it and none computes it again."""
+    return materialize(rows.select(key, normalize(F.col(text)).alias("norm")), "norm")
 
 
 def exact_matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
@@ -28,41 +33,77 @@ def normalized_matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
     return docs.join(bench.select("norm").distinct(), "norm", "left_semi").select("doc_id")
 
 
+def gram_sets(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """key, s: distinct 64-bit hashes of the n-grams of norm; fewer words are one gram, none an empty one."""
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, "norm").mapInArrow(sets_of(n, empty=True), f"key {kind}, s array<bigint>").withColumnRenamed("key", key)
+
+
+def shared_grams(docs: DataFrame, bench: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_grams, s: the hashes that any item has too.
+
+    The items' hashes go to all tasks if they are few, so that documents stay
+    where they are; else documents' hashes meet them by a shuffle.
+    """
+    known = gram_sets(bench, "item_id", n).select(F.explode("s").alias("h")).distinct()
+    sets = gram_sets(docs, "doc_id", n)
+    few = known.limit(MAX_BROADCAST_GRAMS + 1)
+    if few.count() > MAX_BROADCAST_GRAMS:
+        spread = sets.select("doc_id", F.size("s").cast("long").alias("n_grams"), F.explode("s").alias("h"))
+        return spread.join(known.withColumn("found", F.lit(True)), "h", "left").groupBy("doc_id", "n_grams").agg(F.collect_list(F.when(F.col("found"), F.col("h"))).alias("s"))
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["h"] for r in few.collect()], dtype=np.int64).view(np.uint64)))
+
+    def hits(batches):
+        for batch in batches:
+            s = batch.column(1)
+            flat, ends = s.flatten().to_numpy(zero_copy_only=False), s.offsets.to_numpy() - s.offsets[0].as_py()
+            found = np.isin(flat.view(np.uint64), shared.value)
+            upto = np.concatenate([[0], np.cumsum(found)])[ends]
+            kept = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(flat[found], pa.int64()))
+            yield pa.record_batch([batch.column(0), pa.array(np.diff(ends), pa.int64()), kept], ["doc_id", "n_grams", "s"])
+
+    return sets.mapInArrow(hits, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_grams long, s array<bigint>")
+
+
 def ngram_overlap(docs: DataFrame, bench: DataFrame, n: int = NGRAM) -> DataFrame:
     """doc_id, n_ngrams, n_shared, overlap: share of a document's distinct n-grams that any item has."""
-    grams = docs.select("doc_id", ngrams(words(F.col("norm")), n).alias("g"))
-    known = bench.select(F.explode(ngrams(words(F.col("norm")), n)).alias("gram")).distinct()
-    hits = grams.select("doc_id", F.explode("g").alias("gram")).join(known, "gram").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_shared"))
-    out = grams.select("doc_id", F.size("g").cast("long").alias("n_ngrams")).join(hits, "doc_id", "left").withColumn("n_shared", F.coalesce("n_shared", F.lit(0)))
+    out = shared_grams(docs, bench, n).select("doc_id", F.col("n_grams").alias("n_ngrams"), F.size("s").cast("long").alias("n_shared"))
     return out.withColumn("overlap", F.col("n_shared") / F.col("n_ngrams"))
 
 
 def fuzzy_matches(docs: DataFrame, bench: DataFrame, n: int = SHINGLE, threshold: float = 0.0) -> DataFrame:
-    """doc_id, item_id, jaccard of each document's most similar item (then smallest item_id), exactly."""
-    a = docs.select("doc_id", ngrams(words(F.col("norm")), n).alias("g"))
-    b = bench.select("item_id", ngrams(words(F.col("norm")), n).alias("g"))
-    items = b.select("item_id", F.size("g").alias("b_n"), F.explode("g").alias("gram"))
-    shared = a.select("doc_id", F.size("g").alias("a_n"), F.explode("g").alias("gram")).join(items, "gram").groupBy("doc_id", "a_n", "item_id", "b_n").agg(F.count(F.lit(1)).alias("shared"))
+    """doc_id, item_id, jaccard of each document's most similar item (then smallest item_id), exactly.
+
+    Only the hashes that an item has are joined; a hash of many items meets
+    each document that has it once.
+    """
+    items = gram_sets(bench, "item_id", n).select("item_id", F.size("s").alias("b_n"), F.explode("s").alias("h"))
+    hits = shared_grams(docs, bench, n).select("doc_id", F.col("n_grams").alias("a_n"), F.explode("s").alias("h"))
+    shared = hits.join(items, "h").groupBy("doc_id", "a_n", "item_id", "b_n").agg(F.count(F.lit(1)).alias("shared"))
     scored = shared.withColumn("jaccard", F.col("shared") / (F.col("a_n") + F.col("b_n") - F.col("shared"))).filter(F.col("jaccard") >= threshold)
     best = scored.groupBy("doc_id").agg(F.max(F.struct("jaccard", (-F.col("item_id")).alias("i"))).alias("m"))
     return best.select("doc_id", (-F.col("m.i")).alias("item_id"), F.col("m.jaccard").alias("jaccard"))
 
 
 def fuzzy_lsh(docs: DataFrame, bench: DataFrame, n: int = SHINGLE, threshold: float = FUZZY, index_threshold: float = INDEX, permutations: int = PERMUTATIONS) -> DataFrame:
-    """doc_id, item_id, jaccard: MinHash bands at index_threshold, signatures' agreement at threshold; smallest item wins."""
+    """doc_id, item_id, jaccard: MinHash bands at index_threshold, signatures' agreement at threshold; smallest item wins.
+
+    All pairs of a document and an item that agree in a band are compared:
+    items with equal signatures are one class, named by the smallest.
+    """
     bands, rows = bands_and_rows(index_threshold, permutations)
 
-    def banded(d: DataFrame, key: str) -> DataFrame:
-        hashed = d.select(key, F.transform(ngrams(words(F.col("norm")), n), lambda g: F.xxhash64(g)).alias("s"))
-        sig = materialize(minhash(hashed, permutations, key=key), "signatures").withColumnRenamed("signature", "sig")
-        return sig.select(F.col(key), F.col("sig").alias(f"{key}_sig"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice("sig", i * rows + 1, rows)).alias("h")))).alias("band"))
-
-    left, right = banded(docs, "doc_id"), banded(bench, "item_id")
-    pairs = left.select("doc_id", "band").join(right.select("item_id", "band"), "band").select("doc_id", "item_id").distinct()
-    sig = lambda d, key: d.select(key, f"{key}_sig").filter("band.i = 0")
-    both = pairs.join(sig(left, "doc_id"), "doc_id").join(sig(right, "item_id"), "item_id")
-    same = F.size(F.filter(F.zip_with("doc_id_sig", "item_id_sig", lambda x, y: x == y), lambda x: x)) / permutations
-    best = both.withColumn("jaccard", same).filter(F.col("jaccard") >= threshold).groupBy("doc_id").agg(F.min(F.struct("item_id", "jaccard")).alias("m"))
+    def signed(d: DataFrame, key: str) -> DataFrame:
+        return materialize(minhash(gram_sets(d, key, n), permutations, key=key), "signatures")
+
+    def banded(d: DataFrame) -> DataFrame:
+        return d.withColumn("band", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice("signature", i * rows + 1, rows)).alias("h")))))
+
+    items = signed(bench, "item_id").groupBy("signature").agg(F.min("item_id").alias("item_id"))
+    right = banded(items).select("item_id", F.col("signature").alias("item"), "band")
+    pairs = banded(signed(docs, "doc_id")).join(right, "band").select("doc_id", "item_id", "signature", "item")
+    same = F.size(F.filter(F.zip_with("signature", "item", lambda x, y: x == y), lambda x: x)) / permutations
+    best = pairs.withColumn("jaccard", same).filter(F.col("jaccard") >= threshold).groupBy("doc_id").agg(F.min(F.struct("item_id", "jaccard")).alias("m"))
     return best.select("doc_id", "m.item_id", "m.jaccard")
 
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import exact_hash, hash_order, ngrams, words
-from corpusmill.sources.workdir import materialize
+from corpusmill.functions.ordering import cut
+from corpusmill.functions.shingles import rare_first, sets_of, shingle_set, slot_counts, text_bytes
+from corpusmill.functions.text import exact_hash, hash_order, words
+from corpusmill.sources.workdir import discard, materialize
 
 SHINGLE, THRESHOLD, PERMUTATIONS = 5, 0.8, 128
 PRIME = (1 << 31) - 1
@@ -39,37 +44,92 @@ def dedup_stats(clusters: DataFrame, method: str = "exact") -> DataFrame:
     )
 
 
-def shingle_rows(docs: DataFrame, n: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, size, shingle: distinct hashed shingles of the lower-case words; texts without words have none."""
-    w = docs.select(key, words(F.lower(text)).alias("w")).filter(F.size("w") > 0)
-    hashed = w.select(key, F.array_distinct(F.transform(ngrams(F.col("w"), n), lambda s: F.xxhash64(s))).alias("s"))
-    return hashed.select(key, F.size("s").alias("size"), F.explode("s").alias("shingle"))
+def word_text(text: Column) -> Column:
+    """The lower-case words joined by blanks."""
+    return F.array_join(words(F.lower(text)), " ")
+
+
+def shingle_sets(docs: DataFrame, n: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, s: distinct hashed shingles of the lower-case words; texts without words have none and no row."""
+    kind = docs.schema[key].dataType.simpleString()
+    sets = docs.select(key, word_text(F.col(text))).mapInArrow(sets_of(n), f"key {kind}, s array<bigint>")
+    return sets.filter(F.size("s") > 0).withColumnRenamed("key", key)
+
+
+def _profiles(n: int, num: int, den: int, order):
+    """(key, words) to key, md5 of the words, set size, rare-first prefix of the set."""
+
+    def run(batches):
+        for batch in batches:
+            keys, hashes, sizes, prefixes = [], [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+                s = shingle_set(text, n)
+                if len(s):
+                    keep = len(s) - -(-num * len(s) // den) + 1
+                    keys.append(key), hashes.append(hashlib.md5(text).digest()), sizes.append(len(s))
+                    prefixes.append(s[rare_first(s, order.value)[:keep]].view(np.int64))
+            yield pa.record_batch([pa.array(keys, batch.column(0).type), pa.array(hashes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["key", "h", "n", "prefix"])
+
+    return run
+
+
+def _jaccards(batches):
+    """a, b and the shingle sets of both (sorted, 8 bytes an element) to a, b, shared, both sizes summed."""
+    for batch in batches:
+        shared, total = [], []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            shared.append(int(np.count_nonzero(p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q)))
+            total.append(len(p) + len(q))
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "shared", "total"])
 
 
 def near_duplicate_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """a, b, jaccard of all pairs of keys whose shingle sets reach the threshold, computed exactly.
+    """a, b, jaccard, same: near duplicates, computed exactly.
 
-    Copies are one class first, so a group of copies costs no pairs of its own
-    until the end.  Prefix filter: only the rarest shingles of a set, as many
-    as it may lack and one more, are joined on.
+    Texts with the same lower-case words are one class, named by its smallest
+    key.  Rows with same = true are membership: class a, other member b.  Rows
+    with same = false are all pairs of classes a < b whose shingle sets reach
+    the threshold.
+
+    Prefix filter: only the rarest shingles of a set, as many as it may lack
+    and one more, are joined on, the smaller set of a pair with those alone
+    that can be the pair's first; rarity is by slot counts.  Length and
+    positional filters apply inside the join; each pair is verified once.
     """
-    docs = docs.select(key, text)
-    classes = materialize(exact_clusters(docs, key, text), "classes")
-    reps = docs.join(classes.filter(F.col(key) == F.col("cluster_id")).select(key), key)
-    rows = materialize(shingle_rows(reps, n, key, text), "shingles")
-    counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = rows.join(counts, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    sets = shared.groupBy(key, "size").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
-    sets = materialize(sets.select(key, "size", F.transform("s", lambda x: x["shingle"]).alias("s")), "sets")
-    allowed = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1
-    prefix = sets.select(key, "size", F.explode(F.slice("s", F.lit(1), allowed)).alias("shingle"))
-    side = lambda k: prefix.select("shingle", F.col(key).alias(k), F.col("size").alias(f"{k}_size"))
-    sizes = F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * threshold - 1e-9
-    pairs = side("a").join(side("b"), "shingle").filter(F.col("a") < F.col("b")).filter(sizes).select("a", "b").distinct()
-    one = lambda k: sets.select(F.col(key).alias(k), F.col("s").alias(f"{k}_s"))
-    both = pairs.join(one("a"), "a").join(one("b"), "b").withColumn("shared", F.size(F.array_intersect("a_s", "b_s")))
-    jaccard = F.col("shared") / (F.size("a_s") + F.size("b_s") - F.col("shared"))
-    return both.withColumn("jaccard", jaccard).filter(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+    share = Fraction(threshold).limit_denominator(10_000)
+    num, den = share.numerator, share.denominator
+    kind = docs.schema[key].dataType.simpleString()
+    base = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), word_text(F.col(text)).alias("text"))
+    order = docs.sparkSession.sparkContext.broadcast(slot_counts(base, n))
+    rows = materialize(base.mapInArrow(_profiles(n, num, den, order), f"key {kind}, h binary, n long, prefix array<bigint>"), "profiles")
+    nodes = materialize(rows.groupBy("h").agg(F.min("key").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
+    entries = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    entries = entries.withColumn("early", F.expr(f"pos <= n - ceil({2 * num} * n / cast({num + den} as double))"))
+    lists = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.max("early").alias("any")).filter("rows > 1 and any").select("shingle")
+    shared = materialize(entries.join(lists, "shingle"), "lists")
+    side = lambda k: [F.col(c).alias(f"{k}_{c}") for c in ("node", "n", "pos")]
+    met = shared.filter("early").select("shingle", *side("a")).join(shared.select("shingle", *side("b")), "shingle")
+    met = met.filter("(a_n < b_n or a_n = b_n and a_node < b_node)").filter(f"{den} * a_n >= {num} * b_n and {num + den} * least(a_n - a_pos, b_n - b_pos) >= {num} * (a_n + b_n)")
+    pairs = materialize(met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), "pairs")
+    asked = materialize(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "asked")
+    # a key of several rows: only the text of the class that the key names
+    texts = base.withColumn("h", F.unhex(F.md5("text"))).join(asked, "key", "left_semi").join(nodes.select("h", F.col("node").alias("key")), ["h", "key"], "left_semi")
+    sets = materialize(texts.select("key", "text").mapInArrow(_packed_sets(n), f"key {kind}, s binary").dropDuplicates(["key"]), "sets", "lz4")
+    full = pairs.join(sets.select(F.col("key").alias("b"), F.col("s").alias("b_s")), "b").join(sets.select(F.col("key").alias("a"), F.col("s").alias("a_s")), "a")
+    counted = full.select("a", "b", "a_s", "b_s").mapInArrow(_jaccards, f"a {kind}, b {kind}, shared long, total long")
+    near = materialize(counted.filter(F.col("shared") * den >= (F.col("total") - F.col("shared")) * num), "links")
+    members = rows.join(nodes.select("h", "node"), "h").filter("key > node").select(F.col("node").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("jaccard"), F.lit(True).alias("same")).distinct()
+    discard(shared, pairs, asked, sets)
+    return near.select("a", "b", (F.col("shared") / (F.col("total") - F.col("shared"))).alias("jaccard"), F.lit(False).alias("same")).union(members)
+
+
+def _packed_sets(n: int):
+    def run(batches):
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([shingle_set(t, n).tobytes() for t in text_bytes(batch.column(1))], pa.binary())], ["key", "s"])
+
+    return run
 
 
 def minhash(sets: DataFrame, permutations: int = PERMUTATIONS, seed: int = 1, key: str = "doc_id", shingles: str = "s") -> DataFrame:
@@ -149,32 +209,50 @@ def star_clusters(nodes: DataFrame, edges: DataFrame, key: str = "doc_id") -> Da
 
 
 def near_duplicate_clusters(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, cluster_id of every document: the star cluster of the class of its exact copies."""
-    docs = docs.select(key, text)
-    classes = materialize(exact_clusters(docs, key, text), "classes")
-    stars = star_clusters(classes.filter(F.col(key) == F.col("cluster_id")).select(key).distinct(), near_duplicate_pairs(docs, threshold, n, key, text), key)
+    """key, cluster_id of every document: the star cluster of the class of its exact copies, by exact similarity."""
+    return _stars(docs, near_duplicate_pairs(docs, threshold, n, key, text), key)
+
+
+def _stars(docs: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """key, cluster_id of every document: star clusters of classes, given pairs between them and membership."""
+    members = pairs.filter("same").select(F.col("b").alias(key), F.col("a").alias("class"))
+    classes = materialize(docs.select(key).distinct().join(members, key, "left").select(key, F.coalesce("class", key).alias("class")), "classes")
+    stars = star_clusters(classes.filter(F.col(key) == F.col("class")).select(key), pairs.filter("not same").select("a", "b"), key)
     named = stars.select(F.col(key).alias("class"), F.col("cluster_id").alias("star"))
-    return classes.join(named, F.col("cluster_id") == F.col("class")).select(key, F.col("star").alias("cluster_id"))
+    return classes.join(named, "class").select(key, F.col("star").alias("cluster_id"))
+
+
+def build_clusters(docs: DataFrame, method: str = "lsh", threshold: float = THRESHOLD, permutations: int = PERMUTATIONS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, cluster_id of every document; cluster_id is the smallest key of the cluster.
+
+    lsh: documents in order of key take their unclaimed neighbours, which are
+    those that agree in a band of their MinHash signatures.  exact: the same
+    lower-case words.  Texts without words stand alone.
+    """
+    if method == "exact":
+        return exact_clusters(docs, key, text)
+    if method != "lsh":
+        raise ValueError(method)
+    signatures = minhash(shingle_sets(docs, SHINGLE, key, text), permutations, key=key)
+    return _stars(docs, materialize(lsh_candidates(signatures, threshold, permutations, key), "pairs"), key)
 
 
 def split_by_clusters(clusters: DataFrame, val_ratio: float, test_ratio: float, seed: str = "split", key: str = "doc_id") -> DataFrame:
     """key, cluster_id, split.  Clusters in hash order fill validation, then test; the last one may overshoot.
 
-    Running totals are over cluster sizes in two steps, first by range of the
-    hash and then inside a range, so that no task orders all clusters.
+    Where a split ends is found from sums over ranges of the hash order; a
+    cluster's place in that order then tells its split, without a join.
     """
-    sizes = clusters.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).withColumn("k", hash_order(seed, "cluster_id"))
-    sizes = materialize(sizes.withColumn("part", F.shiftright("k", 52)), "sizes")
+    sizes = clusters.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).withColumn("order_key", hash_order(seed, "cluster_id"))
+    sizes = materialize(sizes, "sizes")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("docs")).first()["docs"]
     wanted = [max(1, int(total * r)) if r > 0 else 0 for r in (val_ratio, test_ratio)]
-    parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))
-    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))  # 256 rows
-    inner = Window.partitionBy("part").orderBy("k", "cluster_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prior = sizes.join(F.broadcast(before), "part").withColumn("prior", F.col("base") + F.sum("n").over(inner) - F.col("n"))
-    prior = materialize(prior.select("cluster_id", "n", "prior"), "prior")
-    val = prior.filter(F.col("prior") < wanted[0]).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    split = F.when(F.col("prior") < wanted[0], "validation").when(F.col("prior") - val < wanted[1], "test").otherwise("train")
-    return clusters.join(prior.select("cluster_id", split.alias("split")), "cluster_id").select(key, "cluster_id", "split")
+    val = cut(sizes, "n", wanted[0], "cluster_id")
+    test = cut(sizes, "n", val.total + wanted[1], "cluster_id")
+    at = hash_order(seed, "cluster_id")
+    split = F.when(val.upto(at, F.col("cluster_id")), "validation").when(test.upto(at, F.col("cluster_id")), "test").otherwise("train")
+    discard(sizes)
+    return clusters.select(key, "cluster_id", split.alias("split"))
 
 
 def split_stats(splits: DataFrame, n_raw: int | None = None) -> DataFrame:

@@ -7,11 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.ordering import cut, first_rows
 from corpusmill.functions.text import hash_order
 
 CHARS_A_TOKEN = 4
-#: Ranges of the hash order in which running totals are taken apart.
-RANGES = 256
 
 # The mixtures by name, as shares of the primary corpus and the replay sources.
 MIXTURES = {
@@ -28,28 +27,14 @@ def in_order(rows: DataFrame, seed: str, *keys: str) -> DataFrame:
     return rows.withColumn("order_key", hash_order(seed, *keys))
 
 
-def running_totals(rows: DataFrame, value: str, key: str) -> DataFrame:
-    """prior: the sum of value over all rows before, in order of (order_key, key).
-
-    In two steps, by range of order_key and inside a range, so that no task
-    holds all rows.
-    """
-    parted = rows.withColumn("_part", F.shiftright("order_key", 52))
-    sums = parted.groupBy("_part").agg(F.sum(value).alias("_sum"))
-    base = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_base"))
-    inner = Window.partitionBy("_part").orderBy("order_key", key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return parted.join(F.broadcast(base), "_part").withColumn("prior", F.col("_base") + F.sum(value).over(inner) - F.col(value)).drop("_part", "_base")
-
-
 def token_budget(rows: DataFrame, max_tokens: int, seed: str = "mixture", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows in random order up to and including the one that reaches the budget, at four characters a token."""
-    sized = in_order(rows, seed, key).withColumn("_chars", F.length(text).cast("long"))
-    return running_totals(sized, "_chars", key).filter(F.col("prior") < CHARS_A_TOKEN * max_tokens).drop("_chars", "prior")
+    """Rows in random order up to and including the one that reaches the budget, at four characters a token.
 
-
-def first_rows(rows: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
-    """The n smallest keys; a bounded prefix merged from all tasks."""
-    return rows.orderBy(key).limit(n)
+    The end is found from keys and lengths; texts are only filtered.
+    """
+    place = hash_order(seed, key)
+    end = cut(rows.select(place.alias("order_key"), key, F.length(text).alias("chars")), "chars", CHARS_A_TOKEN * max_tokens, key)
+    return in_order(rows, seed, key).filter(end.upto(F.col("order_key"), F.col(key)))
 
 
 def build_mixture(primary: DataFrame, replay: dict[str, DataFrame], ratios: dict[str, float], primary_name: str = "pt", seed: str = "mixture", max_tokens: int | None = None, key: str = "doc_id") -> DataFrame:
@@ -80,13 +65,12 @@ def weighted_merge(sources: dict[str, tuple[DataFrame, float]], seed: str = "mer
     """int(rows * weight) rows of each source in random order, at most all of them; then in one random order."""
     parts = []
     for name, (rows, weight) in sources.items():
-        taken = min(rows.count(), int(rows.count() * weight))
-        parts.append(in_order(rows, f"{seed}:{name}", key).orderBy("order_key", key).limit(taken).drop("order_key").withColumn("part", F.lit(name)))
+        place, taken = hash_order(f"{seed}:{name}", key), int(rows.count() * weight)
+        end = cut(rows.select(place.alias("order_key"), key, F.lit(1).alias("one")), "one", taken, key)
+        parts.append(rows.filter(end.upto(place, F.col(key))).withColumn("part", F.lit(name)))
     return in_order(reduce(DataFrame.unionByName, parts), seed, "part", key)
 
 
 def sample_rows(rows: DataFrame, n: int, seed: str = "sample", key: str = "doc_id") -> DataFrame:
-    """n rows at random without replacement."""
+    """n rows at random without replacement; for samples that fit in a task."""
     return in_order(rows, seed, key).orderBy("order_key", key).limit(n).drop("order_key")
-
-

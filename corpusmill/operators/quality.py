@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import SPACE, count_matches, strip, words
+from corpusmill.functions.text import SPACE, count_matches, let, strip, words
 
 # Frequent words of two languages, and words that count as toxic.
 PT_WORDS = """
@@ -48,23 +48,27 @@ def n_sentences(text: Column) -> Column:
 
 def language(w: Column) -> Column:
     """pt, en or outro: the larger share of frequent words among the distinct lower-case words, if over 0.05."""
-    seen = F.array_distinct(F.transform(w, F.lower))
+    return let(F.array_distinct(F.transform(w, F.lower)), _language)
+
+
+def _language(seen: Column) -> Column:
     size = F.greatest(F.size(seen), F.lit(1))
     pt, en = (F.size(F.array_intersect(seen, _list(x))) / size for x in (PT_WORDS, EN_WORDS))
     return F.when((pt > en) & (pt > 0.05), "pt").when((en > pt) & (en > 0.05), "en").otherwise("outro")
 
 
 def has_pii(text: Column) -> Column:
-    found = F.lit(False)
-    for pattern in PII.values():
-        found = found | text.rlike(UNICODE + pattern)
-    return found
+    """Whether a pattern of PII occurs; texts without an @ or three digits in a row are not searched."""
+    numbers = F.lit(False)
+    for name, pattern in PII.items():
+        if name != "email":
+            numbers = numbers | text.rlike(UNICODE + pattern)
+    return (F.contains(text, F.lit("@")) & text.rlike(UNICODE + PII["email"])) | (text.rlike(UNICODE + r"\d{3}") & numbers)
 
 
 def toxicity(w: Column) -> Column:
     """Ten times the share of toxic words, 1 at most; marks .,!?;: around a word do not count."""
-    bare = F.transform(w, lambda x: strip(F.lower(x), "[.,!?;:]"))
-    hits = F.size(F.filter(bare, lambda x: x.isin(TOXIC_WORDS)))
+    hits = F.size(F.filter(w, lambda x: F.btrim(F.lower(x), F.lit(".,!?;:")).isin(TOXIC_WORDS)))
     return F.when(F.size(w) == 0, F.lit(0.0)).otherwise(F.least(hits / F.size(w) * 10, F.lit(1.0)))
 
 
@@ -73,10 +77,10 @@ def quality_score(text: Column, n_chars: Column, n_words: Column, sentences: Col
     length = F.when(n_words < 10, 0.1).when(n_words < 50, 0.4).when(n_words <= 5000, 1.0).otherwise(0.7)
     mean = n_words / sentences
     sentence = F.when(sentences == 0, 0.2).when((mean >= 10) & (mean <= 25), 1.0).when((mean >= 5) & (mean <= 40), 0.6).otherwise(0.3)
-    special = F.length(F.regexp_replace(text, rf"[\p{{L}}\p{{N}}{SPACE[1:-1]}]", "")) / F.greatest(n_chars, F.lit(1))
+    special = F.length(F.regexp_replace(text, rf"[\p{{L}}\p{{N}}{SPACE[1:-1]}]+", "")) / F.greatest(n_chars, F.lit(1))
     special = F.when(special < 0.1, 1.0).when(special < 0.2, 0.7).when(special < 0.4, 0.4).otherwise(0.1)
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    capitals = F.length(F.regexp_replace(text, r"[^\p{IsUppercase}]", "")) / letters
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
+    capitals = F.length(F.regexp_replace(text, r"[^\p{IsUppercase}]+", "")) / letters
     capitals = F.when(letters == 0, 0.5).when(capitals < 0.3, 1.0).when(capitals < 0.5, 0.5).otherwise(0.1)
     score = 0.3 * length + 0.3 * sentence + 0.2 * special + 0.2 * capitals
     return F.when(n_words == 0, F.lit(0.0)).otherwise(F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 4))

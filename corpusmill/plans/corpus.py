@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,21 +76,20 @@ query(
     "dedup_stats",
     f"WITH {CLUSTERS}, t AS (SELECT count(*) AS o, count(DISTINCT cluster_id) AS c FROM k) SELECT c AS n_clusters, o - c AS n_duplicates_removed, round((o - c)::DOUBLE / greatest(o, 1), 4) AS dedup_ratio, o AS n_original, c AS n_unique, 'exact' AS method FROM t",
 )(lambda s, d: dedup.dedup_stats(dedup.exact_clusters(docs(s, d))))
-query("near_dup_pairs", f"WITH {CLUSTERS}, {PAIRS} SELECT * FROM p")(lambda s, d: dedup.near_duplicate_pairs(docs(s, d)))
+query("near_dup_pairs", f"WITH {CLUSTERS}, {PAIRS} SELECT a, b, jaccard, false AS same FROM p UNION ALL SELECT cluster_id, doc_id, 1.0::DOUBLE, true FROM k WHERE doc_id <> cluster_id")(
+    lambda s, d: dedup.near_duplicate_pairs(docs(s, d))
+)
 
 
-@query(
-    "star_clusters",
-    f"""WITH RECURSIVE {CLUSTERS}, {PAIRS}, v AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM k WHERE doc_id = cluster_id),
+# documents in order take their unclaimed neighbours; copies go with their class
+STARS = f"""{CLUSTERS}, {PAIRS}, v AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM k WHERE doc_id = cluster_id),
 r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS centres UNION ALL
   SELECT r.i + 1, CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.b = v.doc_id AND list_contains(r.centres, p.a)) THEN r.centres ELSE list_append(r.centres, v.doc_id) END FROM r JOIN v ON v.i = r.i + 1),
-z AS (SELECT centres FROM r ORDER BY i DESC LIMIT 1)
-SELECT v.doc_id, CASE WHEN list_contains(centres, v.doc_id) THEN v.doc_id ELSE (SELECT min(p.a) FROM p WHERE p.b = v.doc_id AND list_contains(z.centres, p.a)) END AS cluster_id FROM v, z""",
-)
-def star_clusters(spark: SparkSession, d: str) -> DataFrame:
-    raw = docs(spark, d)
-    classes = dedup.exact_clusters(raw)
-    return dedup.star_clusters(classes.filter("doc_id = cluster_id").select("doc_id"), dedup.near_duplicate_pairs(raw))
+z AS (SELECT centres FROM r ORDER BY i DESC LIMIT 1),
+g AS (SELECT v.doc_id AS class, CASE WHEN list_contains(centres, v.doc_id) THEN v.doc_id ELSE (SELECT min(p.a) FROM p WHERE p.b = v.doc_id AND list_contains(z.centres, p.a)) END AS star FROM v, z),
+n2 AS (SELECT k.doc_id, g.star AS cluster_id FROM k JOIN g ON k.cluster_id = g.class)"""
+query("star_clusters", f"WITH RECURSIVE {STARS} SELECT * FROM n2")(lambda s, d: dedup.near_duplicate_clusters(docs(s, d)))
+query("lsh_clusters")(lambda s, d: dedup.build_clusters(docs(s, d), "lsh"))  # MinHash values differ from SQL's
 
 
 ORDERED = f"""h AS (SELECT cluster_id, count(*) AS n, {sql.order_key("'split'", "cluster_id")} AS o FROM k GROUP BY cluster_id),
@@ -101,28 +102,36 @@ query(
     f"WITH {CLUSTERS}, {ORDERED} SELECT count(*) AS raw_count, count(*) AS post_filter_count, count(*) FILTER (split = 'train') AS train_count, count(*) FILTER (split = 'validation') AS val_count, count(*) FILTER (split = 'test') AS test_count, round(count(*) FILTER (split = 'train')::DOUBLE / count(*), 4) AS train_ratio FROM f",
 )(lambda s, d: dedup.split_stats(dedup.split_by_clusters(dedup.exact_clusters(docs(s, d)), 0.1, 0.1)))
 
-# with near copies; the queries above know exact copies alone, and star_clusters has a row for each class of them
-query("near_duplicate_clusters")(lambda s, d: dedup.near_duplicate_clusters(docs(s, d)))
-query("cluster_split_fuzzy")(lambda s, d: dedup.split_by_clusters(dedup.near_duplicate_clusters(docs(s, d)), 0.1, 0.1))
+# with near copies; the queries above know exact copies alone
+FUZZY_ORDERED = ORDERED.replace("FROM k GROUP BY", "FROM n2 GROUP BY").replace("k.cluster_id", "n2.cluster_id").replace("FROM k JOIN q", "FROM n2 JOIN q").replace("v AS (SELECT sum", "u AS (SELECT sum").replace("t, v)", "t, u)")
+query("cluster_split_fuzzy", f"WITH RECURSIVE {STARS}, {FUZZY_ORDERED} SELECT doc_id, cluster_id, split FROM f")(lambda s, d: dedup.split_by_clusters(dedup.near_duplicate_clusters(docs(s, d)), 0.1, 0.1))
 
 
 def signatures(spark: SparkSession, d: str) -> DataFrame:
-    w = docs(spark, d).select("doc_id", tx.words(F.lower("text")).alias("w")).filter(F.size("w") > 0)
-    hashed = w.select("doc_id", F.transform(tx.ngrams(F.col("w"), 5), lambda g: F.xxhash64(g)).alias("s"))
-    return dedup.minhash(hashed, 64)
+    return dedup.minhash(dedup.shingle_sets(docs(spark, d)))
 
 
 query("minhash_signature")(signatures)  # hashes differ from SQL's
-query("lsh_candidates")(lambda s, d: dedup.lsh_candidates(signatures(s, d), permutations=64))  # as above
+query("lsh_candidates")(lambda s, d: dedup.lsh_candidates(signatures(s, d)))  # as above
 
 # ---- D: contamination ------------------------------------------------------
 
 
+# Every benchmark item stands among the documents too, as it is, shouted, or with words after it (ids -1, -2, ...).
+PLANTED = "SELECT -1 - item_id AS doc_id, CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || '!?' ELSE text || ' and some more words' END AS text FROM benchmark"
+
+
+def planted(spark: SparkSession, d: str) -> DataFrame:
+    items, t = table(spark, d, "benchmark"), F.col("text")
+    text = F.when(F.col("item_id") % 3 == 0, t).when(F.col("item_id") % 3 == 1, F.concat(F.translate(t, ascii_lowercase, ascii_uppercase), F.lit("!?"))).otherwise(F.concat(t, F.lit(" and some more words")))
+    return docs(spark, d).select("doc_id", "text").union(items.select(-1 - F.col("item_id"), text))
+
+
 def norms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return contamination.normalized(docs(spark, d), "doc_id"), contamination.normalized(table(spark, d, "benchmark"), "item_id")
+    return contamination.normalized(planted(spark, d), "doc_id"), contamination.normalized(table(spark, d, "benchmark"), "item_id")
 
 
-NORMS = f"a AS (SELECT doc_id, {sql.normal('text')} AS norm FROM documents), b AS (SELECT item_id, {sql.normal('text')} AS norm FROM benchmark)"
+NORMS = f"a AS (SELECT doc_id, {sql.normal('text')} AS norm FROM (SELECT doc_id, text FROM documents UNION ALL {PLANTED})), b AS (SELECT item_id, {sql.normal('text')} AS norm FROM benchmark)"
 GRAMS = lambda n: f"ag AS (SELECT doc_id, {sql.ngrams('w', n)} AS g FROM (SELECT doc_id, {sql.words('norm')} AS w FROM a)), bg AS (SELECT item_id, {sql.ngrams('w', n)} AS g FROM (SELECT item_id, {sql.words('norm')} AS w FROM b))"
 OVERLAP = f"{NORMS}, {GRAMS(10)}, kg AS (SELECT DISTINCT unnest(g) AS x FROM bg), e AS (SELECT doc_id, unnest(g) AS x FROM ag), hit AS (SELECT doc_id, count(*) AS n_shared FROM e JOIN kg USING (x) GROUP BY doc_id), o AS (SELECT doc_id, len(g) AS n_ngrams, coalesce(n_shared, 0) AS n_shared, coalesce(n_shared, 0)::DOUBLE / len(g) AS overlap FROM ag LEFT JOIN hit USING (doc_id))"
 
@@ -134,7 +143,7 @@ query(
     f"WITH {NORMS}, {GRAMS(5)}, x AS (SELECT doc_id, len(g) AS n, unnest(g) AS y FROM ag), z AS (SELECT item_id, len(g) AS n, unnest(g) AS y FROM bg), j AS (SELECT doc_id, item_id, count(*)::DOUBLE / (any_value(x.n) + any_value(z.n) - count(*)) AS jaccard FROM x JOIN z USING (y) GROUP BY 1, 2),"
     " r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY jaccard DESC, item_id) AS k FROM j) SELECT doc_id, item_id, jaccard FROM r WHERE k = 1",
 )(lambda s, d: contamination.fuzzy_matches(*norms(s, d)))
-query("contam_fuzzy_lsh")(lambda s, d: contamination.fuzzy_lsh(*norms(s, d), permutations=64, threshold=0.1))  # estimates from signatures
+query("contam_fuzzy_lsh")(lambda s, d: contamination.fuzzy_lsh(*norms(s, d)))  # estimates from signatures
 
 
 @query(

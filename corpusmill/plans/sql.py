@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from corpusmill.functions.text import ACCENTED, PLAIN
+import unicodedata
+
 from corpusmill.operators.quality import EN_WORDS, PII, PT_WORDS, TOXIC_WORDS
 
 SPACE = r"[\s\x1c-\x1f\x{85}\p{Z}]"
@@ -20,8 +21,21 @@ def strip(text: str) -> str:
     return f"regexp_replace(regexp_replace({text}, '^{SPACE}+', ''), '{SPACE}+$', '')"
 
 
+def _decomposed(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if unicodedata.category(x) != "Mn")
+
+
+# the engine has no compatibility decomposition: letters and signs below U+2200 by table, ligatures, fractions and the like by name
+_ONE = [c for c in map(chr, range(0x80, 0x2200)) if len(_decomposed(c)) == 1 and _decomposed(c) != c]
+_MANY = [chr(c) for c in (0xBC, 0xBD, 0xBE, 0x132, 0x133, 0x149, *range(0x1C4, 0x1CD), 0x1F1, 0x1F2, 0x1F3, 0x2025, 0x2026, 0x2116, 0x2122, *range(0xFB00, 0xFB07))]
+
+
 def plain(text: str) -> str:
-    return f"regexp_replace(translate({text}, '{ACCENTED}', '{PLAIN}'), '\\p{{M}}', '', 'g')"
+    out = f"regexp_replace(translate({text}, '{''.join(_ONE)}', '{''.join(map(_decomposed, _ONE))}'), '\\p{{Mn}}', '', 'g')"
+    many = out
+    for c in _MANY:
+        many = f"replace({many}, '{c}', '{_decomposed(c)}')"
+    return f"(CASE WHEN regexp_matches({text}, '[{''.join(_MANY)}]') THEN {many} ELSE {out} END)"
 
 
 def normal(text: str) -> str:

@@ -36,8 +36,10 @@ def test_near_pairs_equal_brute_force(spark):
     for k, t in rows:
         first.setdefault(t, k)
     expected = {(a, b) for a, b in combinations(sorted(first.values()), 2) if len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.8}
-    got = {(r["a"], r["b"]) for r in dedup.near_duplicate_pairs(docs(spark, rows)).collect()}
-    assert got == expected and expected
+    found = dedup.near_duplicate_pairs(docs(spark, rows + [(None, rows[0][1])])).collect()
+    assert {(r["a"], r["b"]) for r in found if not r["same"]} == expected and expected
+    assert {(r["a"], r["b"]) for r in found if r["same"]} == {(first[t], k) for k, t in rows if first[t] != k}
+    assert all(abs(r["jaccard"] - len(grams[r["a"]] & grams[r["b"]]) / len(grams[r["a"]] | grams[r["b"]])) < 1e-12 for r in found)
     w = docs(spark, rows).select("doc_id", F.transform(F.split("text", " "), lambda x: F.xxhash64(x)).alias("s"))
     sig = dedup.minhash(w, 32)
     assert all(len(r["signature"]) == 32 for r in sig.collect()) and dedup.lsh_candidates(sig, 0.5, 32).count() > 0
@@ -49,8 +51,7 @@ def test_lsh_candidates_are_all_pairs_of_a_band(spark, monkeypatch, band_rows):
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(0, 200, 20)]  # near copies, the pairs (b, c) too
     rows += [(1000, rows[3][1]), (1001, rows[3][1]), (1002, "something else altogether here and now")]
-    sets = dedup.shingle_rows(docs(spark, rows)).groupBy("doc_id").agg(F.collect_set("shingle").alias("s"))
-    signatures = dedup.minhash(sets)
+    signatures = dedup.minhash(dedup.shingle_sets(docs(spark, rows)))
     signed = {r[0]: tuple(r[1]) for r in signatures.collect()}
     first = {}
     for k in sorted(signed):
@@ -61,7 +62,7 @@ def test_lsh_candidates_are_all_pairs_of_a_band(spark, monkeypatch, band_rows):
     pairs = {(a, b) for a, b in combinations(sorted(first.values()), 2) if agree(a, b)}
     assert len(got) == len(set(got)) and {x[:2] for x in got if not x[2]} == pairs
     assert {x[:2] for x in got if x[2]} == {(first[s], k) for k, s in signed.items() if first[s] != k} == {(60, 1000), (60, 1001)}
-    true = {(r["a"], r["b"]) for r in dedup.near_duplicate_pairs(docs(spark, rows)).collect()}
+    true = {(r["a"], r["b"]) for r in dedup.near_duplicate_pairs(docs(spark, rows)).collect() if not r["same"]}
     assert len(true) == 45 and len(true & pairs) >= 0.9 * len(true)
 
 

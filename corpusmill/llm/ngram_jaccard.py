@@ -45,13 +45,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.shingles import rare_first, shingle_set, slot_counts, text_bytes
 from corpusmill.llm.components import connected_components
-from corpusmill.llm.wordhash import shingle_set, text_bytes
 from corpusmill.sources.workdir import discard, materialize
 
-#: The slot table has one slot for about BYTES_A_SLOT bytes of text, 2^MOST_SLOT_BITS at most.
-LEAST_SLOT_BITS, MOST_SLOT_BITS, BYTES_A_SLOT = 16, 22, 64
-SLOT_PARTS = 256
 SKETCH_WORDS = 4
 #: Depth to which the suffix filter cuts.
 SUFFIX_DEPTH = 3
@@ -61,68 +58,6 @@ HUB_PAIRS = 512
 BLOCK_NODES = 256
 
 
-def _slot(shingles: np.ndarray, bits: int) -> np.ndarray:
-    return (shingles >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _narrow(hits: np.ndarray) -> bytes:
-    """Counts in the narrowest type that holds them all; the length tells the type."""
-    return hits.astype(np.min_scalar_type(int(hits.max()))).tobytes()
-
-
-def _wide(data, bits: int) -> np.ndarray:
-    return np.frombuffer(data, dtype=f"u{len(data) * SLOT_PARTS >> bits}").astype(np.int64)
-
-
-def _count_slots(n: int, bits: int):
-    """Per task: hits of every slot by the distinct shingles of each text, as SLOT_PARTS pieces; pieces without hits are left out."""
-
-    def run(batches):
-        total = np.zeros(1 << bits, dtype=np.int64)
-        held, size = [], 0
-        for batch in batches:
-            for text in text_bytes(batch.column(0)):
-                held.append(_slot(shingle_set(text, n), bits))
-                size += len(held[-1])
-                if size > 1 << 20:
-                    total += np.bincount(np.concatenate(held), minlength=len(total))
-                    held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total))
-        pieces = [(i, _narrow(x)) for i, x in enumerate(total.reshape(SLOT_PARTS, -1)) if x.any()]
-        if pieces:
-            yield pa.record_batch([pa.array([i for i, _ in pieces], pa.int32()), pa.array([x for _, x in pieces], pa.binary())], ["part", "hits"])
-
-    return run
-
-
-def _sum_slots(bits: int):
-    """Running sums by piece: a task holds its pieces of the table, however many tasks sent some."""
-
-    def run(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, hits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = _wide(hits, bits)
-                total[part] = total[part] + got if part in total else got
-        for part, hits in total.items():
-            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([_narrow(hits)], pa.binary())], ["part", "hits"])
-
-    return run
-
-
-def slot_counts(docs: DataFrame, n: int) -> np.ndarray:
-    """Hits of each hash slot over all texts; 16 MB on the driver at most."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(max(math.ceil(math.log2(max(size / BYTES_A_SLOT, 1))), LEAST_SLOT_BITS), MOST_SLOT_BITS)
-    kind = "part int, hits binary"
-    parts = docs.select("text").mapInArrow(_count_slots(n, bits), kind).repartition("part").mapInArrow(_sum_slots(bits), kind)
-    total = np.zeros((SLOT_PARTS, (1 << bits) // SLOT_PARTS), dtype=np.uint32)
-    for row in parts.collect():
-        total[row["part"]] = np.minimum(_wide(bytes(row["hits"]), bits), np.iinfo(np.uint32).max)
-    return total.ravel()
-
-
 def sketch(shingles: np.ndarray) -> np.ndarray:
     """Parities of the sizes of 64 * SKETCH_WORDS parts of a set."""
     bits = np.bincount((shingles & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
@@ -133,8 +68,6 @@ def _profile(n: int, num: int, den: int, order):
     """doc_id, set size, digest of the set, prefix shingles from rare to frequent, sketch."""
 
     def run(batches):
-        slots = order.value
-        bits = len(slots).bit_length() - 1
         for batch in batches:
             size, digest, prefix, marks = [], [], [], []
             for text in text_bytes(batch.column(1)):
@@ -144,7 +77,7 @@ def _profile(n: int, num: int, den: int, order):
                     digest.append(None), prefix.append(None), marks.append(None)
                     continue
                 keep = len(s) - -(-num * len(s) // den) + 1
-                rare = np.argsort(slots[_slot(s, bits)], kind="stable")[:keep]
+                rare = rare_first(s, order.value)[:keep]
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 prefix.append(s[rare].view(np.int64))
                 marks.append(sketch(s))
@@ -201,10 +134,10 @@ def _verify(num: int, den: int):
         own = None
         for batch in batches:
             found = []
-            for a, b, shingles in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                here = np.frombuffer(shingles, dtype=np.uint64)
+            for a, b, here in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), text_bytes(batch.column(3))):
+                here = here.view(np.uint64)
                 if b is None:
-                    own = here
+                    own = here.copy()
                 elif linked(own, here, num, den):
                     found.append((a, b))
             yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])

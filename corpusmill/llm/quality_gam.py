@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.wordhash import tables, text_bytes, word_hashes
+from corpusmill.functions.shingles import tables, text_bytes, word_hashes
 
 FEATURES = (
     "log_bytes upper digits symbols bangs stops commas newlines word_length long_words distinct_words top_word "

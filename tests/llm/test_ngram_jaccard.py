@@ -5,7 +5,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from corpusmill.llm import ngram_jaccard, wordhash
+from corpusmill.functions import shingles
+from corpusmill.llm import ngram_jaccard
 from corpusmill.llm.components import connected_components
 from corpusmill.llm.ngram_jaccard import keep_one_per_component, similarity_components, similarity_links
 from pyspark.sql import functions as F
@@ -96,15 +97,6 @@ def test_long_chain_is_one_component(spark):
     assert set(got.values()) == {0, 1000} and all(got[i] == 0 for i in range(201))
 
 
-def test_hashes_do_not_depend_on_place_or_segments(monkeypatch):
-    text = ("Alpha beta\tGAMMA\x0bdelta " * 60 + "x" * 700 + " tail").encode()
-    whole = wordhash.word_hashes(np.frombuffer(text, dtype=np.uint8))
-    alone = [int(wordhash.word_hashes(np.frombuffer(w.lower(), dtype=np.uint8))[0]) for w in text.split()]
-    assert whole.tolist() == alone
-    monkeypatch.setattr(wordhash, "SEGMENT", 128)
-    assert wordhash.word_hashes(np.frombuffer(text, dtype=np.uint8)).tolist() == alone
-
-
 def test_suffix_bound_is_a_lower_bound():
     rng = np.random.default_rng(7)
     for _ in range(300):
@@ -129,7 +121,7 @@ def test_pages_of_one_template_meet_in_no_list(spark):
 @pytest.mark.parametrize("hub", [512, 2])
 def test_hubs_send_their_set_in_parts(spark, monkeypatch, hub):
     monkeypatch.setattr(ngram_jaccard, "HUB_PAIRS", hub)
-    monkeypatch.setattr(ngram_jaccard, "MOST_SLOT_BITS", 16)
+    monkeypatch.setattr(shingles, "MOST_SLOT_BITS", 16)
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert sorted((tuple(r) for r in similarity_components(docs, 5, 80, 100).collect()), key=str) == brute(rows, 5, 80, 100)

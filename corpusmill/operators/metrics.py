@@ -25,10 +25,20 @@ def _total() -> Column:
 
 
 def accuracy(rows: DataFrame) -> DataFrame:
-    """accuracy, n_correct, n_total; both sides stripped and upper-cased."""
+    """accuracy, n_correct, n_total; both sides stripped and upper-cased.
+
+    n_correct is the whole part of accuracy * n_total in doubles, which can be
+    one low, as other reports of this metric have it.
+    """
     same = F.upper(strip(F.col("prediction").cast("string"))) == F.upper(strip(F.col("gold").cast("string")))
     hits = F.sum(F.coalesce(same, F.lit(False)).cast("long"))
-    return rows.agg((F.coalesce(hits, F.lit(0)) / F.greatest(_total(), F.lit(1))).alias("accuracy"), F.coalesce(hits, F.lit(0)).alias("n_correct"), _total().alias("n_total"))
+    t = rows.agg((F.coalesce(hits, F.lit(0)) / F.greatest(_total(), F.lit(1))).alias("accuracy"), _total().alias("n_total"))
+    return t.select("accuracy", F.floor(F.col("accuracy") * F.col("n_total")).cast("long").alias("n_correct"), "n_total")
+
+
+def zip_by_place(predictions: DataFrame, golds: DataFrame, place: str = "idx") -> DataFrame:
+    """Predictions and gold labels of the same place; places that one side lacks are left out."""
+    return predictions.join(golds, place)
 
 
 def label_counts(rows: DataFrame) -> DataFrame:

@@ -53,6 +53,21 @@ def build_mixture(primary: DataFrame, replay: dict[str, DataFrame], ratios: dict
     return token_budget(mixed, max_tokens, seed, key) if max_tokens else mixed
 
 
+def english_replay(load, n: int, key: str = "doc_id", allow_fallback: bool = False, empty: DataFrame | None = None) -> DataFrame:
+    """The first n rows of what load() reads.  If it fails the error is raised, or, with allow_fallback, the one row of empty stands in."""
+    try:
+        return first_rows(load(), n, key)
+    except Exception:
+        if not allow_fallback or empty is None:
+            raise
+        return empty
+
+
+def project_text(rows: DataFrame, text: str = "text") -> DataFrame:
+    """The text column alone."""
+    return rows.select(text)
+
+
 def code_replay(rows: DataFrame, n: int, language: str = "lang", key: str = "doc_id") -> DataFrame:
     """n // languages rows of each language, the smallest keys first."""
     names = rows.select(language).distinct().count()

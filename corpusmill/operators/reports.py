@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.sources.io import save_report, write_text
+
 RESULT = "struct<task:string,`group`:string,metric_name:string,metrics:map<string,double>,num_examples:int,inference_time_sec:double,think_mode:string>"
 
 
@@ -66,3 +68,62 @@ def markdown_table(rows: DataFrame, limit: int = 1000) -> str:
     show = lambda v: "—" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
     head = "| " + " | ".join(rows.columns) + " |\n|" + "---|" * len(rows.columns) + "\n"
     return head + "".join("| " + " | ".join(show(v) for v in r) + " |\n" for r in rows.limit(limit).collect())
+
+
+MODE_PREFIX, AVERAGE = "think_", "Média"
+
+
+def show_mode(mode: Column) -> Column:
+    return F.regexp_replace(mode, "^" + MODE_PREFIX, "")
+
+
+def comparison_cells(flat: DataFrame, mode: str = "think_off", group: str | None = None) -> DataFrame:
+    """benchmark, model, score, is_best of one mode: best is the highest score of a benchmark, the first model of equals; a missing score counts as 0."""
+    rows = flat.filter(F.col("think_mode") == mode)
+    rows = rows if group is None else rows.filter(F.col("group") == group)
+    order = Window.partitionBy("benchmark").orderBy(F.desc(F.coalesce("score", F.lit(0.0))), "model")
+    return rows.withColumn("is_best", F.row_number().over(order) == 1).select("benchmark", "model", "score", "is_best")
+
+
+def comparison_table(flat: DataFrame, mode: str = "think_off", group: str | None = None) -> str:
+    """Markdown: benchmarks by models, the best of a row in bold, dashes for missing ones, and a row of averages over what is there.
+
+    A rendered table is small: a cell for each benchmark and model.
+    """
+    cells = {(r["benchmark"], r["model"]): r for r in comparison_cells(flat, mode, group).collect()}
+    benchmarks, models = (sorted({k[i] for k in cells}) for i in (0, 1))
+    lines = ["| Benchmark | " + " | ".join(models) + " |", "|" + "---|" * (len(models) + 1)]
+    for b in benchmarks:
+        shown = []
+        for m in models:
+            r = cells.get((b, m))
+            value = "—" if r is None or r["score"] is None else f"{r['score']:.4f}"
+            shown.append(f"**{value}**" if r is not None and r["is_best"] and value != "—" else value)
+        lines.append(f"| {b} | " + " | ".join(shown) + " |")
+    means = []
+    for m in models:
+        there = [r["score"] for (_, model), r in cells.items() if model == m and r["score"] is not None]
+        means.append(f"{sum(there) / len(there):.4f}" if there else "—")
+    return "\n".join([*lines, f"| **{AVERAGE}** | " + " | ".join(means) + " |"]) + "\n"
+
+
+def seeds_table(intervals: DataFrame, keys: list[str]) -> str:
+    """Markdown of seed intervals (mean, std, n_seeds, ci_lower, ci_upper) in order of the keys, four digits."""
+    return markdown_table(intervals.orderBy(*keys).select(*keys, "mean", "std", "ci_lower", "ci_upper", "n_seeds"))
+
+
+def terminal_table(flat: DataFrame) -> str:
+    """The last row of each model and benchmark, as aligned text."""
+    rows = [[str(r["model"]), str(r["benchmark"]), "—" if r["score"] is None else f"{r['score']:.4f}"] for r in last_per_benchmark(flat).orderBy("model", "benchmark").collect()]
+    table = [["model", "benchmark", "score"], *rows]
+    width = [max(len(r[i]) for r in table) for i in range(3)]
+    return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, width)).rstrip() for r in table) + "\n"
+
+
+def save_dashboard(flat: DataFrame, path: str, mode: str = "think_off", group: str | None = None) -> None:
+    """dashboard.md (comparison and ranking), dashboard.txt (terminal) and scores/ (CSV of the flat rows) under path."""
+    spark = flat.sparkSession
+    ranked = markdown_table(model_ranking(flat).orderBy("position").select("position", "model", "avg_score"))
+    write_text(spark, f"{path}/dashboard.md", comparison_table(flat, mode, group) + "\n" + ranked)
+    write_text(spark, f"{path}/dashboard.txt", terminal_table(flat))
+    save_report(flat.withColumn("think_mode", show_mode(F.col("think_mode"))), f"{path}/scores")

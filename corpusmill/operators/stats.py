@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from corpusmill.functions.text import hash_order
 
@@ -70,12 +72,19 @@ def paired_permutation(items: DataFrame, permutations: int = 2000, seed: str = "
     return extreme.select(p.alias("p_value"), F.lit(observed["s"] / n).alias("mean_diff"))
 
 
+@F.pandas_udf(DoubleType())
+def two_sided(z: pd.Series) -> pd.Series:
+    """Both tails of the normal distribution beyond |z|; for single rows of results."""
+    return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)), na_action="ignore")
+
+
 def mcnemar(items: DataFrame) -> DataFrame:
-    """b, c, statistic with Edwards' correction and p_value, from booleans correct_a and correct_b."""
+    """b, c, statistic with Edwards' correction and p_value, from booleans correct_a and correct_b; 0 and 1 without discordant pairs."""
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     t = items.agg(n(F.col("correct_a") & ~F.col("correct_b")).alias("b"), n(~F.col("correct_a") & F.col("correct_b")).alias("c"))
     d = F.abs(F.col("b") - F.col("c")) - 1
-    return t.withColumn("statistic", F.when(F.col("b") + F.col("c") == 0, F.lit(0.0)).otherwise(d * d / (F.col("b") + F.col("c"))))
+    t = t.withColumn("statistic", F.when(F.col("b") + F.col("c") == 0, F.lit(0.0)).otherwise(d * d / (F.col("b") + F.col("c"))))
+    return t.withColumn("p_value", F.when(F.col("b") + F.col("c") == 0, F.lit(1.0)).otherwise(two_sided(F.sqrt("statistic"))))
 
 
 def chi2_1_p(statistic: float) -> float:
@@ -83,31 +92,36 @@ def chi2_1_p(statistic: float) -> float:
     return math.erfc(math.sqrt(max(statistic, 0.0) / 2))
 
 
+def wilcoxon_p(statistic: float, n: int, ties: list[int] = ()) -> float:
+    """Two-sided normal approximation with tie correction; 1 without differences."""
+    if n == 0:
+        return 1.0
+    mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - sum(t**3 - t for t in ties) / 48
+    return 1.0 if var <= 0 else min(1.0, 2 * NormalDist().cdf((statistic - mean) / math.sqrt(var)))
+
+
 def mcnemar_test(items: DataFrame) -> dict[str, float]:
     row = mcnemar(items).first()
-    return {"statistic": row["statistic"], "p_value": 1.0 if row["b"] + row["c"] == 0 else chi2_1_p(row["statistic"])}
+    return {"statistic": row["statistic"], "p_value": row["p_value"]}
 
 
 def wilcoxon(items: DataFrame) -> DataFrame:
-    """n (non-zero differences), w_plus, w_minus, statistic; zero differences are left out.
+    """n (non-zero differences), w_plus, w_minus, statistic, p_value; zero differences are left out.
 
-    Ranks come from counts of the distinct absolute differences.
+    Ranks come from counts of the distinct absolute differences.  p_value is
+    the two-sided normal approximation with tie correction, 1 without
+    differences.
     """
     d = items.select((F.col("score_a") - F.col("score_b")).alias("d")).filter("d != 0")
     counts = d.groupBy(F.abs("d").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("d") > 0).cast("long")).alias("plus"))
     below = Window.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     ranked = counts.withColumn("rank", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2)
     s = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
-    t = ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), s(F.col("rank") * F.col("plus")).alias("w_plus"), s(F.col("rank") * (F.col("n") - F.col("plus"))).alias("w_minus"))
-    return t.withColumn("statistic", F.least("w_plus", "w_minus"))
-
-
-def wilcoxon_p(statistic: float, n: int, ties: list[int] = ()) -> float:
-    """Two-sided normal approximation with tie correction; 1 without differences."""
-    if n == 0:
-        return 1.0
-    mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - sum(t**3 - t for t in ties) / 48
-    return 1.0 if var <= 0 else min(1.0, 2 * NormalDist().cdf((statistic - mean) / math.sqrt(var)))
+    n, ties = F.col("n").cast("double"), F.coalesce(F.sum(F.pow("n", F.lit(3)) - F.col("n")), F.lit(0.0))
+    t = ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), s(F.col("rank") * F.col("plus")).alias("w_plus"), s(F.col("rank") * (F.col("n") - F.col("plus"))).alias("w_minus"), ties.alias("ties"))
+    t = t.withColumn("statistic", F.least("w_plus", "w_minus")).withColumn("var", n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    z = (F.col("statistic") - n * (n + 1) / 4) / F.sqrt(F.greatest("var", F.lit(1e-300)))
+    return t.withColumn("p_value", F.when((F.col("n") == 0) | (F.col("var") <= 0), F.lit(1.0)).otherwise(F.least(two_sided(z), F.lit(1.0)))).drop("ties", "var")
 
 
 def effect_label(d: Column) -> Column:
@@ -179,15 +193,21 @@ def _incomplete_beta(x: float, a: float, b: float) -> float:
 def seed_intervals(scores: DataFrame, group: list[str], value: str = "score", level: float = 0.95) -> DataFrame:
     """mean, std (ddof 1), n_seeds and t interval per group; one seed gives a degenerate interval."""
     t = scores.groupBy(*group).agg(F.count(F.lit(1)).alias("n_seeds"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"))
-    sizes = [r[0] for r in t.select("n_seeds").distinct().collect()]  # distinct numbers of seeds
-    q = F.lit(0.0)
-    for n in sizes:
-        if n > 1:
-            q = F.when(F.col("n_seeds") == n, t_quantile(level, n - 1)).otherwise(q)
-    half = q * F.col("std") / F.sqrt("n_seeds")
+    half = t_quantiles(level)("n_seeds") * F.col("std") / F.sqrt("n_seeds")
     return t.withColumns({"ci_lower": F.col("mean") - half, "ci_upper": F.col("mean") + half})
 
 
+def t_quantiles(level: float):
+    """Column function: the two-sided t quantile for a number of values, 0 for one; found once for each number in a batch."""
+
+    @F.pandas_udf(DoubleType())
+    def quantile(n: pd.Series) -> pd.Series:
+        known = {x: t_quantile(level, x - 1) if x > 1 else 0.0 for x in n.unique()}
+        return n.map(known).astype("float64")
+
+    return quantile
+
+
 def metric_interval(metrics: DataFrame, items: DataFrame, draws: int = 2000, level: float = 0.95) -> DataFrame | None:
     """Wilson's interval if the metric counts correct answers, else a bootstrap for five items or more, else none."""
     if {"n_correct", "n_total"} <= set(metrics.columns):

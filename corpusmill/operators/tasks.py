@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import strip
+from corpusmill.functions.text import let, strip
 
 # The instruction of each task.
 INSTRUCTIONS = {
@@ -38,6 +38,8 @@ INSTRUCTIONS = {
     "rte_pt": "Determine se a hipótese pode ser inferida a partir da premissa. Responda APENAS com 'entailment' ou 'not_entailment'.",
 }
 DEFAULT_INSTRUCTION = "Responda a pergunta a seguir."
+#: Rows that the summary task takes, and labels that a task without options may have.
+SUMMARIES, MAX_LABELS = 500, 1000
 
 # Heads of the seven prompt shapes and the word before the answer.
 SHAPES = {
@@ -197,15 +199,21 @@ def bio_spans(tokens: Column, tags: Column) -> Column:
         same = (i > 0) & F.coalesce(F.substring(before, 1, 2).isin("B-", "I-") & (F.substr(before, F.lit(3)) == kind), F.lit(False))
         return F.startswith(tag, F.lit("B-")) | (F.startswith(tag, F.lit("I-")) & ~same)
 
-    at = F.filter(F.sequence(F.lit(0), F.size(tags) - 1), starts)
+    def spans(breaks: Column) -> Column:
+        # a span reaches from its start to the next place that does not go on with a span
+        ends = F.transform(breaks, lambda i, j: F.struct(i.alias("lo"), F.get(breaks, j + 1).alias("hi")))
+        return F.transform(F.filter(ends, lambda e: e["hi"].isNotNull() & starts(e["lo"])), span)
 
-    def span(i: Column) -> Column:
-        kind = F.substr(F.get(tags, i), F.lit(3))
-        rest = F.filter(F.sequence(i, F.size(tags)), lambda j: (j > i) & F.coalesce(F.get(tags, j) != F.concat(F.lit("I-"), kind), F.lit(True)))
-        text = F.array_join(F.slice(tokens, i + 1, F.array_min(rest) - i), " ")
-        return F.struct(F.lower(strip(text)).alias("start"), kind.alias("label"))
+    def span(e: Column) -> Column:
+        text = F.array_join(F.slice(tokens, e["lo"] + 1, e["hi"] - e["lo"]), " ")
+        return F.struct(F.lower(strip(text)).alias("start"), F.substr(F.get(tags, e["lo"]), F.lit(3)).alias("label"))
 
-    return F.when(F.size(tags) == 0, F.array().cast("array<struct<start:string,label:string>>")).otherwise(F.transform(at, span))
+    def goes_on(i: Column) -> Column:
+        return F.startswith(F.get(tags, i), F.lit("I-")) & ~starts(i)
+
+    none = F.array().cast("array<struct<start:string,label:string>>")
+    breaks = F.filter(F.sequence(F.lit(0), F.size(tags)), lambda i: (i == F.size(tags)) | ~F.coalesce(goes_on(i), F.lit(False)))
+    return F.when(F.size(tags) == 0, none).otherwise(let(breaks, spans))
 
 
 PARSERS: dict[str, Callable[[Column], Column]] = {
@@ -315,6 +323,14 @@ def _labels(**names):
 _col = lambda name: lambda rows: F.col(name)
 _when = lambda name, value, yes, no: lambda rows: F.when(F.col(name).cast("int") == value, yes).otherwise(no)
 
+
+
+def _summaries(rows: DataFrame) -> DataFrame:
+    """The first SUMMARIES rows by id (by text without one); empty texts count and are dropped after."""
+    first = rows.orderBy(*(["id"] if "id" in rows.columns else ["text", "summary"])).limit(SUMMARIES)
+    return first.select("text", "summary").filter("text <> ''")
+
+
 ADAPTERS: dict[str, Callable[..., DataFrame]] = {
     "enem": _aliases("question|questao|pergunta", "alternatives|options|alternativas", "label|answer|resposta"),
     "bluex": _choice,
@@ -337,7 +353,7 @@ ADAPTERS: dict[str, Callable[..., DataFrame]] = {
     "publichearing_br": _hearing,
     "boolq_pt": _boolq,
     "lener_br": _entities,
-    "xlsum_pt": lambda rows: rows.limit(500).select("text", "summary").filter("text <> ''"),
+    "xlsum_pt": _summaries,
     "donotanswer_pt": lambda rows: rows.select("question", "category", F.lit("refuse").alias("expected_behavior")),
 }
 
@@ -347,8 +363,33 @@ def option_set(n_options: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n_options - 1), letter)
 
 
-
-
 def gold_options(rows: DataFrame, gold: str = "gold") -> list[str]:
-    """For tasks without options: the distinct gold labels in order; a task has few."""
-    return [r[0] for r in rows.select(F.col(gold).cast("string")).distinct().orderBy(gold).collect()]
+    """For tasks without options: the distinct gold labels in order; over MAX_LABELS of them are an error."""
+    found = [r[0] for r in rows.select(F.col(gold).cast("string").alias("gold")).distinct().orderBy("gold").limit(MAX_LABELS + 1).collect()]
+    if len(found) > MAX_LABELS:
+        raise ValueError(f"over {MAX_LABELS} labels: the task has no option set")
+    return found
+
+
+def gold_answer(rows: DataFrame, column: str = "answer") -> Column:
+    """The gold letter or label: numbers (as such or as text) are places of options, booleans yes or no, texts are stripped and upper-cased."""
+    kind = dict(rows.dtypes)[column]
+    if kind in ("int", "bigint", "smallint", "tinyint"):
+        return letter(F.col(column).cast("int"))
+    if kind == "boolean":
+        return F.when(F.col(column), "sim").otherwise("nao")
+    text = F.upper(strip(F.col(column).cast("string")))
+    return F.when(text.rlike(r"\A[0-9]\z"), letter(F.expr(f"try_cast(trim({column}) as int)"))).otherwise(text)
+
+
+def select_tasks(catalogue: DataFrame, available: DataFrame | None = None, group: str | None = None) -> DataFrame:
+    """The rows of a catalogue (name, enabled, and group or path where asked for) that are to run.
+
+    Rows that are not enabled go (a null counts as enabled); with available
+    (path), rows whose path is given but is not among them go too; with a
+    group, only its rows stay.
+    """
+    rows = catalogue.filter(F.coalesce("enabled", F.lit(True)))
+    if available is not None:
+        rows = rows.join(available.select(F.col("path").alias("_there")).distinct(), F.col("path") == F.col("_there"), "left").filter("path is null or _there is not null").drop("_there")
+    return rows if group is None else rows.filter(F.col("group") == group)

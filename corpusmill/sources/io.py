@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import warnings
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,27 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def read_instructions(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """Instruction rows from JSON lines; a missing file is a warning and None."""
+    if not exists(spark, path):
+        warnings.warn(f"no instruction file {path}", stacklevel=2)
+        return None
+    return spark.read.schema(schema).json(path)
+
+
+def load_rows(spark: SparkSession, hub: str | None, local: str | None, schema: str, adapt: Callable[[DataFrame], DataFrame] = lambda rows: rows, max_samples: int | None = None, key: str | None = None, split: str = "test") -> DataFrame:
+    """A task's rows: the hub's split or a fallback, else local JSON lines; adapted, then the first max_samples by key.
+
+    Without either the result is an empty table of the schema, adapted.
+    """
+    rows = read_split(spark, hub, split) if hub else None
+    if rows is None or rows.isEmpty():
+        rows = read_jsonl(spark, local, schema) if local else spark.createDataFrame([], schema)
+    if max_samples is not None:
+        rows = cap(rows, max_samples, key or rows.columns[0])
+    return adapt(rows)
+
+
 def read_split(spark: SparkSession, root: str, split: str = "test", fallbacks: tuple[str, ...] = ("validation", "train")) -> DataFrame | None:
     """root/split, or the first fallback that is there, or None."""
     for name in (split, *fallbacks):
@@ -59,17 +83,31 @@ def load_manifest(spark: SparkSession, path: str, schema: str | None = None) ->
     return (spark.read.schema(schema) if schema else spark.read).json(path)
 
 
-def save_splits(splits: DataFrame, path: str) -> None:
-    splits.write.mode("overwrite").partitionBy("split").parquet(path)
+def save_splits(splits: DataFrame, path: str, stats: DataFrame | None = None) -> None:
+    """splits/ by split, and stats/ with the counts as one JSON row."""
+    splits.write.mode("overwrite").partitionBy("split").parquet(f"{path}/splits")
+    if stats is not None:
+        stats.coalesce(1).write.mode("overwrite").json(f"{path}/stats")
 
 
 def save_report(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
-def save_contamination(rows: DataFrame, path: str) -> None:
-    """One JSON folder a benchmark."""
-    rows.write.mode("overwrite").partitionBy("benchmark").json(path)
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small rendered text as one file, in any store that Spark can write."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    stream.write(bytearray(text.encode("utf-8")))
+    stream.close()
+
+
+def save_contamination(rows: DataFrame, path: str, summary: DataFrame | None = None) -> None:
+    """by_benchmark/ with one JSON folder a benchmark, and full_report.json: the summary of all methods with counts a benchmark."""
+    rows.write.mode("overwrite").partitionBy("benchmark").json(f"{path}/by_benchmark")
+    counts = {r["benchmark"]: r["n"] for r in rows.groupBy("benchmark").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a benchmark
+    report = {"benchmarks": counts, "methods": [r.asDict() for r in summary.collect()] if summary is not None else []}  # a row a method
+    write_text(rows.sparkSession, f"{path}/full_report.json", json.dumps(report, ensure_ascii=False, indent=2, sort_keys=True))
 
 
 def append_log(rows: DataFrame, path: str) -> None:

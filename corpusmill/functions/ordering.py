@@ -5,9 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.sources.workdir import materialize
+
 #: Ranges into which a span of the order is cut, and rows that the driver may sort to find a place among them.
 RANGES, SMALL = 1024, 10_000
 
@@ -72,3 +74,16 @@ def first_rows(rows: DataFrame, n: int, key: str) -> DataFrame:
     place = number_of(rows, key)
     end = cut(rows.select(place.alias("order_key"), key, F.lit(1).alias("one")), "one", n, key)
     return rows.filter(end.upto(place, F.col(key)))
+
+
+def numbered(rows: DataFrame, key: str, name: str = "idx") -> DataFrame:
+    """name: 0, 1, 2, ... in order of the key, without a task that sees all rows.
+
+    Rows are sorted by ranges of the key and written; a row's number is its
+    place in its range after the sizes of the ranges before.
+    """
+    placed = materialize(rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    base = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))  # a row a partition
+    return placed.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_at", "_base")

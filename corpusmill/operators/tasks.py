@@ -193,27 +193,32 @@ def parse_entities(raw: Column) -> Column:
 def bio_spans(tokens: Column, tags: Column) -> Column:
     """array of (start, label): lower-case texts of BIO2 spans; an I- without its B- starts a span."""
 
-    def starts(i: Column) -> Column:
-        tag, before = F.get(tags, i), F.get(tags, i - 1)
-        kind = F.substr(tag, F.lit(3))
-        same = (i > 0) & F.coalesce(F.substring(before, 1, 2).isin("B-", "I-") & (F.substr(before, F.lit(3)) == kind), F.lit(False))
-        return F.startswith(tag, F.lit("B-")) | (F.startswith(tag, F.lit("I-")) & ~same)
-
-    def spans(breaks: Column) -> Column:
-        # a span reaches from its start to the next place that does not go on with a span
-        ends = F.transform(breaks, lambda i, j: F.struct(i.alias("lo"), F.get(breaks, j + 1).alias("hi")))
-        return F.transform(F.filter(ends, lambda e: e["hi"].isNotNull() & starts(e["lo"])), span)
-
-    def span(e: Column) -> Column:
-        text = F.array_join(F.slice(tokens, e["lo"] + 1, e["hi"] - e["lo"]), " ")
-        return F.struct(F.lower(strip(text)).alias("start"), F.substr(F.get(tags, e["lo"]), F.lit(3)).alias("label"))
-
-    def goes_on(i: Column) -> Column:
-        return F.startswith(F.get(tags, i), F.lit("I-")) & ~starts(i)
-
-    none = F.array().cast("array<struct<start:string,label:string>>")
-    breaks = F.filter(F.sequence(F.lit(0), F.size(tags)), lambda i: (i == F.size(tags)) | ~F.coalesce(goes_on(i), F.lit(False)))
-    return F.when(F.size(tags) == 0, none).otherwise(let(breaks, spans))
+    def of(row: Column) -> Column:
+        tokens, tags = row["tokens"], row["tags"]
+
+        def starts(i: Column) -> Column:
+            tag, before = F.get(tags, i), F.get(tags, i - 1)
+            same = (i > 0) & F.coalesce(F.substring(before, 1, 2).isin("B-", "I-") & (F.substr(before, F.lit(3)) == F.substr(tag, F.lit(3))), F.lit(False))
+            return F.startswith(tag, F.lit("B-")) | (F.startswith(tag, F.lit("I-")) & ~same)
+
+        def goes_on(i: Column) -> Column:
+            return F.startswith(F.get(tags, i), F.lit("I-")) & ~starts(i)
+
+        def spans(breaks: Column) -> Column:
+            # a span reaches from its start to the next place that does not go on with a span
+            ends = F.transform(breaks, lambda i, j: F.struct(i.alias("lo"), F.get(breaks, j + 1).alias("hi")))
+            return F.transform(F.filter(ends, lambda e: e["hi"].isNotNull() & starts(e["lo"])), span)
+
+        def span(e: Column) -> Column:
+            text = F.array_join(F.slice(tokens, e["lo"] + 1, e["hi"] - e["lo"]), " ")
+            return F.struct(F.lower(strip(text)).alias("start"), F.substr(F.get(tags, e["lo"]), F.lit(3)).alias("label"))
+
+        none = F.array().cast("array<struct<start:string,label:string>>")
+        breaks = F.filter(F.sequence(F.lit(0), F.size(tags)), lambda i: (i == F.size(tags)) | ~F.coalesce(goes_on(i), F.lit(False)))
+        return F.when(F.size(tags) == 0, none).otherwise(let(breaks, spans))
+
+    # bound once: inside a lambda the given expressions would be evaluated for every place
+    return let(F.struct(tokens.alias("tokens"), tags.alias("tags")), of)
 
 
 PARSERS: dict[str, Callable[[Column], Column]] = {

@@ -199,6 +199,19 @@ query("random_sample", f"SELECT doc_id FROM (SELECT doc_id, {sql.order_key(sql.q
 
 # ---- F: tokens -------------------------------------------------------------
 
-query("fertility")(lambda s, d: packing.fertility(docs(s, d)))  # averages of doubles: the last digits hang on the order
-query("fertility_compare")(lambda s, d: packing.compare_fertility(packing.fertility(docs(s, d).filter("lang = 'en'")), packing.fertility(docs(s, d).filter("lang = 'de'")), "tokens_per_char"))
-query("packed_sequences")(lambda s, d: packing.pack(packing.word_ids(docs(s, d)), 512, 0))  # a sequential fold
+FERTILITY = f"""t AS (SELECT lang, length(text) AS chars, {sql.words('text')} AS w FROM documents), r AS (SELECT lang, round(len(w)::DOUBLE / chars * 1000000000)::HUGEINT AS c, w FROM t WHERE chars > 0 AND len(w) > 0),
+f AS (SELECT lang, round(sum(c)::DOUBLE / count(*) / 1e9::DOUBLE, 6) AS tokens_per_char, round(sqrt(greatest(sum(c * c)::DOUBLE / count(*) - (sum(c)::DOUBLE / count(*)) * (sum(c)::DOUBLE / count(*)), 0)) / 1e9::DOUBLE, 6) AS tokens_per_char_std, 1.0::DOUBLE AS tokens_per_word, 0.0::DOUBLE AS tokens_per_word_std, count(*) AS n_texts FROM r GROUP BY GROUPING SETS ((lang), ())),
+l AS (SELECT sum(n)::DOUBLE / count(*) AS mean_token_length, median(n) AS median_token_length FROM (SELECT unnest(list_transform(w[1:1000], lambda x: length(x))) AS n FROM r))"""
+query("fertility", f"WITH {FERTILITY} SELECT f.* EXCLUDE (lang), mean_token_length, median_token_length FROM f, l WHERE lang IS NULL")(lambda s, d: packing.fertility(docs(s, d)))
+query("fertility_compare", f"WITH {FERTILITY} SELECT a.tokens_per_char / greatest(b.tokens_per_char, 1e-8) AS fertility_ratio, (a.tokens_per_char - b.tokens_per_char) / greatest(b.tokens_per_char, 1e-8) * 100 AS gap_pct FROM f a, f b WHERE a.lang = 'en' AND b.lang = 'de'")(
+    lambda s, d: packing.compare_fertility(packing.fertility(docs(s, d).filter("lang = 'en'")), packing.fertility(docs(s, d).filter("lang = 'de'")), "tokens_per_char")
+)
+# a fold over the documents of a batch gives offsets; sequences are compared by digests of their ids and labels
+PACKED = f"""w AS (SELECT doc_id // 1000 AS batch, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) AS i, list_transform({sql.words('text')}, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT % 32000 + 1) AS t FROM documents),
+r AS (SELECT DISTINCT batch, 0::BIGINT AS i, 0::BIGINT AS start, 0::BIGINT AS gap, 0::BIGINT AS off FROM w
+  UNION ALL SELECT w.batch, w.i, off + (off % 512 <> 0)::INT, (off % 512 <> 0)::INT, off + (off % 512 <> 0)::INT + len(t) FROM r JOIN w ON w.batch = r.batch AND w.i = r.i + 1),
+p AS (SELECT batch, start + k - 1 AS place, t[k] AS id, false AS e FROM (SELECT r.batch, start, t, unnest(range(1, len(t) + 1)) AS k FROM r JOIN w ON w.batch = r.batch AND w.i = r.i) UNION ALL SELECT batch, start - 1, 0, true FROM r WHERE gap = 1),
+s AS (SELECT batch, place // 512 AS seq, place, id, CASE WHEN e OR lag(e, 1, false) OVER (PARTITION BY batch, place // 512 ORDER BY place) THEN -100 ELSE id END AS label FROM p)"""
+query("packed_sequences", f"WITH RECURSIVE {PACKED} SELECT batch, seq, md5(string_agg(id::VARCHAR, ',' ORDER BY place)) AS ids_md5, md5(string_agg(label::VARCHAR, ',' ORDER BY place)) AS labels_md5 FROM s GROUP BY batch, seq HAVING count(*) = 512")(
+    lambda s, d: packing.pack(packing.word_ids(docs(s, d)), 512, 0).select("batch", "seq", *[F.md5(F.array_join(F.col(c).cast("array<string>"), ",")).alias(name) for c, name in (("input_ids", "ids_md5"), ("labels", "labels_md5"))])
+)

@@ -37,8 +37,8 @@ SELECT run, best, stop AS stop_step FROM l WHERE k = 1""",
 )(lambda s, d: telemetry.plateau_stop(runs(s, d), 0.01, 3))
 query(
     "forgetting_alert",
-    "WITH p AS (SELECT user_id AS run, event_id AS step, least(value / 100, 100.0) AS x, first_value(least(value / 100, 100.0)) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) SELECT run, step, exp(x) > exp(b) * 1.2::DOUBLE AS alert FROM p",
-)(lambda s, d: telemetry.forgetting(runs(s, d).select("run", "step", "loss")).select("run", "step", "alert"))
+    "WITH p AS (SELECT user_id AS run, event_id AS step, least(value / 100, 100.0) AS x, first_value(least(value / 100, 100.0)) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) SELECT run, step, exp(x) > exp(b) * 1.2::DOUBLE AS alert, round(exp(x), 6) AS perplexity, round(exp(x) - exp(b), 6) AS delta FROM p",
+)(lambda s, d: telemetry.forgetting(runs(s, d).select("run", "step", "loss")).select("run", "step", "alert", F.round("perplexity", 6).alias("perplexity"), F.round("delta", 6).alias("delta")))
 query(
     "best_lr",
     "WITH l AS (SELECT user_id AS run, coalesce(max_by(value / 100, event_id) FILTER (event_type = 'purchase'), max_by(value / 100, event_id), 999.0) AS final_loss FROM events GROUP BY user_id) SELECT run, final_loss, row_number() OVER (ORDER BY final_loss, run)::INT AS rank FROM l",

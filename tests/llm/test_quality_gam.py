@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from corpusmill.llm import quality_gam as gam
 from corpusmill.llm.quality_gam import FEATURES, AdditiveModel, features, keep_good, score_quality, train
 
 DATA = "/root/testdata/sf0.1"
@@ -58,3 +59,39 @@ def test_features_are_finite():
     for text in (b"", b" ", b"\n\n", b"a", b"!!!", b"A B\xc3\xa9 1, 2. | ###"):
         row = features(np.frombuffer(text, dtype=np.uint8))
         assert np.isfinite(row).all() and len(row) == len(FEATURES)
+
+
+def test_trees_take_the_best_cuts():
+    rng = np.random.default_rng(4)
+    worth = lambda g, h: g.sum() ** 2 / (h.sum() + gam.RIDGE)
+    for _ in range(20):
+        g, h = rng.normal(0, 1, 9), rng.random(9)
+        tree = gam._line_tree(g, h, 2)
+        best = max(range(1, 9), key=lambda at: worth(g[:at], h[:at]) + worth(g[at:], h[at:]))
+        want = np.concatenate([np.full(len(p), -p.sum() / (q.sum() + gam.RIDGE)) for p, q in ((g[:best], h[:best]), (g[best:], h[best:]))])
+        assert np.allclose(tree, want)
+        g, h = rng.normal(0, 1, (4, 5)), rng.random((4, 5))
+
+        def halves(a, b):
+            out = [worth(a, b)]
+            for axis in (0, 1):
+                for at in range(1, a.shape[axis]):
+                    out.append(sum(worth(x, y) for x, y in zip(np.split(a, [at], axis), np.split(b, [at], axis))))
+            return max(out)
+
+        best = max(sum(halves(x, y) for x, y in zip(np.split(g, [at], axis), np.split(h, [at], axis))) for axis in (0, 1) for at in range(1, g.shape[axis]))
+        values, total = gam._square_tree(g, h)
+        assert total == pytest.approx(best)
+        assert sum(worth(g[values == v], h[values == v]) for v in np.unique(values)) == pytest.approx(best)
+
+
+def test_a_score_is_a_sum_of_table_entries():
+    rng = np.random.default_rng(5)
+    x = rng.random((300, len(FEATURES))).astype(np.float32)
+    y = (x[:, 0] + x[:, 3] * x[:, 4] > 0.8).astype(int)
+    model = AdditiveModel(x, y)
+    for row, score in zip(x[:40], model.score(x[:40])):
+        place = lambda cuts, v: sum(c <= v for c in cuts)
+        total = model.base + sum(t[place(c, v)] for c, t, v in zip(model.cuts, model.tables, row))
+        total += sum(t[place(model.pair_cuts[i], row[i]), place(model.pair_cuts[j], row[j])] for i, j, t in model.pairs)
+        assert score == pytest.approx(1 / (1 + np.exp(-total)))

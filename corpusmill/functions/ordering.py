@@ -76,13 +76,13 @@ def first_rows(rows: DataFrame, n: int, key: str) -> DataFrame:
     return rows.filter(end.upto(place, F.col(key)))
 
 
-def numbered(rows: DataFrame, key: str, name: str = "idx") -> DataFrame:
-    """name: 0, 1, 2, ... in order of the key, without a task that sees all rows.
+def numbered(rows: DataFrame, *keys: str | Column, name: str = "idx") -> DataFrame:
+    """name: 0, 1, 2, ... in order of the keys, without a task that sees all rows.
 
-    Rows are sorted by ranges of the key and written; a row's number is its
+    Rows are sorted by ranges of the keys and written; a row's number is its
     place in its range after the sizes of the ranges before.
     """
-    placed = materialize(rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    placed = materialize(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "numbered")
     placed = placed.withColumn("_part", F.shiftright("_at", 33))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     base = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))  # a row a partition

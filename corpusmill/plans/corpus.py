@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as tx
+from corpusmill.functions.ordering import numbered
 from corpusmill.operators import cleaning, contamination, dedup, mixtures, packing, quality
 from corpusmill.plans import sql
 from corpusmill.plans.registry import query
@@ -18,6 +19,11 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
+def _positions(rows: DataFrame) -> DataFrame:
+    """position: the place of each row in the order in which the rows come."""
+    return numbered(rows, "_at", name="position").drop("_at")
+
+
 # ---- A: load, clean, split -------------------------------------------------
 
 query("length_filter", "SELECT doc_id, n_chars FROM documents WHERE length(text) BETWEEN 100 AND 500000")(lambda s, d: cleaning.length_filter(docs(s, d)).select("doc_id", "n_chars"))
@@ -33,7 +39,9 @@ query("hash_split", f"SELECT doc_id, {sql.split_value('text')} AS value, CASE WH
 query("split_counts", f"SELECT CASE WHEN {sql.split_value(sql.CLEAN)} < 0.005 THEN 'val' ELSE 'train' END AS split, count(*) AS n FROM documents WHERE length(text) BETWEEN 100 AND 500000 GROUP BY 1")(
     lambda s, d: cleaning.assign_split(cleaning.clean_docs(docs(s, d)), 0.005).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 )
-query("curriculum_order", "SELECT doc_id, length(text)::INT AS n FROM documents ORDER BY n, doc_id")(lambda s, d: cleaning.curriculum(docs(s, d)).select("doc_id", F.length("text").alias("n")))
+query("curriculum_order", "SELECT doc_id, length(text)::INT AS n, row_number() OVER (ORDER BY length(text), doc_id) - 1 AS position FROM documents")(
+    lambda s, d: cleaning.curriculum(docs(s, d)).select("doc_id", F.length("text").alias("n"), F.monotonically_increasing_id().alias("_at")).transform(_positions)
+)
 
 # ---- B: quality ------------------------------------------------------------
 
@@ -56,6 +64,13 @@ query(
     f"WITH {sql.MANIFEST} SELECT domain, count(*) AS n_docs, {MEAN.format('quality_score')} AS avg_quality, round(sum(n_words)::DOUBLE / count(*), 2) AS avg_words, count(*) FILTER (has_pii) AS pii_count, {MEAN.format('toxicity_score')} AS avg_toxicity,"
     " count(*) FILTER (language = 'pt') AS n_pt, count(*) FILTER (language = 'en') AS n_en, count(*) FILTER (language = 'outro') AS n_outro FROM m GROUP BY domain",
 )(lambda s, d: quality.domain_stats(quality.manifest(docs(s, d), domain="source")))
+CONFIG = {"min_quality_score": 0.6, "language_id": {"enabled": True, "target_language": "en"}, "toxicity_filter": {"enabled": True, "max_toxicity_score": 0.5}, "pii_filter": {"enabled": True, "action": "remove"}}
+query("quality_config_filter", f"WITH {sql.MANIFEST} SELECT raw_index FROM m WHERE quality_score >= 0.6 AND language = 'en' AND toxicity_score <= 0.5 AND NOT has_pii AND raw_index = cluster_id")(
+    lambda s, d: quality.filter_from_config(manifest(s, d), CONFIG).select("raw_index")
+)
+query("manifest_without_empty_texts", "SELECT doc_id AS raw_index, length(text)::INT AS n_chars FROM documents WHERE doc_id % 7 <> 0 AND text <> ''")(
+    lambda s, d: quality.manifest(docs(s, d).withColumn("text", F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("text")))).select("raw_index", "n_chars")
+)
 query("global_stats", f"WITH {sql.MANIFEST} SELECT count(*) AS total_documents, count(*) FILTER (has_pii) AS total_pii, count(*) FILTER (raw_index <> cluster_id) AS total_duplicates, string_agg(DISTINCT domain, ',' ORDER BY domain) AS domains FROM m")(
     lambda s, d: quality.global_stats(manifest(s, d))
 )
@@ -177,11 +192,11 @@ def _mixture(name: str, sources: dict[str, str]):
 def _mixture_sql(name: str, sources: dict[str, str]) -> str:
     ratios = mixtures.MIXTURES[name]
     take = lambda k, v: f"SELECT doc_id, '{k}' AS part FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM documents WHERE lang = '{v}'), c WHERE i <= floor(n / {ratios['pt']}::DOUBLE * {ratios[k]}::DOUBLE)"
-    union = " UNION ALL ".join(["SELECT doc_id, 'pt' AS part FROM p", *(take(k, v) for k, v in sources.items())])
+    union = " UNION ALL ".join(["SELECT doc_id, 'pt' AS part FROM p", *(take(k, v) for k, v in sources.items() if k in ratios)])
     return f"WITH {PARTS}, u AS ({union}) SELECT doc_id, part, {sql.order_key(sql.q('mixture'), 'part', 'doc_id')} AS order_key FROM u"
 
 
-for _name, _sources in (("pt_en_15", {"en": "fr"}), ("pt_en_code", {"en": "fr", "code": "de"})):
+for _name, _sources in (("pt_only", {"en": "fr"}), ("pt_en_5", {"en": "fr"}), ("pt_en_10", {"en": "fr"}), ("pt_en_15", {"en": "fr"}), ("pt_en_code", {"en": "fr", "code": "de"})):
     query(f"mixture_{_name}", _mixture_sql(_name, _sources))(_mixture(_name, _sources))
 query(
     "token_budget_cut",

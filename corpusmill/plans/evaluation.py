@@ -49,6 +49,26 @@ query("think_budget", f"SELECT conv_id, text || '<|think|>' || {NL} || '<|channe
 )
 
 
+THINK, EMPTY = f"'<|think|>' || {NL}", f"'<|think|>' || {NL} || '<|channel>thought' || {NL} || '<channel|>' || {NL}"
+MODES = [(mode, training) for mode in ("off", "on", "budget") for training in (True, False)]
+
+
+@query(
+    "think_modes",
+    f"WITH t AS ({_each(CHAT)}), g AS ({_each(CHAT, MODEL)}) "
+    + " UNION ALL ".join(
+        f"SELECT conv_id, '{mode}' AS mode, {str(training).lower()} AS training, "
+        + ("text" if mode == "off" else f"replace(text, {MODEL}, {MODEL} || {THINK if mode == 'on' else EMPTY})" if training else f"text || {THINK if mode == 'on' else EMPTY}")
+        + f" AS text FROM {'t' if training else 'g'}"
+        for mode, training in MODES
+    ),
+)
+def think_modes(spark: SparkSession, d: str) -> DataFrame:
+    shown = lambda mode, training: chat.inject_think(chat.format_chat(F.col("messages"), generate=not training), mode, training)
+    cells = F.array(*[F.struct(F.lit(mode).alias("mode"), F.lit(training).alias("training"), shown(mode, training).alias("text")) for mode, training in MODES])
+    return gathered(spark, d).select("conv_id", F.inline(cells))
+
+
 def thoughtful(spark: SparkSession, d: str) -> DataFrame:
     wrap = F.concat(F.lit("<think>plan "), F.col("turn").cast("string"), F.lit("</think>\n\n\n"), F.col("text"), F.lit("<|channel>thought\nlate"))
     return table(spark, d, "conversations").select("conv_id", "turn", wrap.alias("text"))
@@ -348,6 +368,9 @@ def prompt_shapes(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+query("option_letters", "SELECT item_id, array_to_string(list_transform(range(0, item_id % 5 + 1), lambda i: chr((65 + i)::INT)), ',') AS letters FROM benchmark")(
+    lambda s, d: table(s, d, "benchmark").select("item_id", F.array_join(tasks.option_set((item() % 5 + 1).cast("int")), ",").alias("letters"))
+)
 query("gold_answers", f"SELECT item_id, {ABCD} AS by_number, {_pick_sql('A', 'B')} AS by_text, upper(replace(trim(substr(text, 1, 8)), 'ß', 'ss')) AS label, {_pick_sql('sim', 'nao')} AS truth FROM benchmark")(
     lambda s, d: (r := table(s, d, "benchmark").select("item_id", (item() % 4).alias("n"), (item() % 2).cast("string").alias("t"), F.substring("text", 1, 8).alias("x"), (item() % 2 == 0).alias("b"))).select(
         "item_id", tasks.gold_answer(r, "n").alias("by_number"), tasks.gold_answer(r, "t").alias("by_text"), tasks.gold_answer(r, "x").alias("label"), tasks.gold_answer(r, "b").alias("truth")

@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable], Callable]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from corpusmill.plans import corpus, evaluation, training  # noqa: F401
+    from corpusmill.plans import corpus, evaluation, files, training  # noqa: F401

@@ -368,7 +368,7 @@ def prompt_shapes(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-query("option_letters", "SELECT item_id, array_to_string(list_transform(range(0, item_id % 5 + 1), lambda i: chr((65 + i)::INT)), ',') AS letters FROM benchmark")(
+query("letter_options", "SELECT item_id, array_to_string(list_transform(range(0, item_id % 5 + 1), lambda i: chr((65 + i)::INT)), ',') AS letters FROM benchmark")(
     lambda s, d: table(s, d, "benchmark").select("item_id", F.array_join(tasks.option_set((item() % 5 + 1).cast("int")), ",").alias("letters"))
 )
 query("gold_answers", f"SELECT item_id, {ABCD} AS by_number, {_pick_sql('A', 'B')} AS by_text, upper(replace(trim(substr(text, 1, 8)), 'ß', 'ss')) AS label, {_pick_sql('sim', 'nao')} AS truth FROM benchmark")(

@@ -124,6 +124,18 @@ def shingle_set(a: np.ndarray, n: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(a), n))
 
 
+def lean(run):
+    """An Arrow kernel that hands memory back to the system after every batch, as workers outlive their tasks."""
+
+    def kernel(batches):
+        for batch in run(batches):
+            yield batch
+            del batch
+            pa.default_memory_pool().release_unused()
+
+    return kernel
+
+
 def text_bytes(column: pa.Array):
     """Yield each text of an Arrow string column as a view of its bytes; null gives none."""
     if isinstance(column, pa.ChunkedArray):
@@ -162,7 +174,7 @@ def _count_slots(n: int, bits: int):
             for text in text_bytes(batch.column(0)):
                 held.append(slot_of(shingle_set(text, n), bits))
                 size += len(held[-1])
-                if size > 1 << 20:
+                if size > 1 << 18:
                     total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
                     held, size = [], 0
         if held:

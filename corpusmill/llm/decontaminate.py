@@ -96,8 +96,10 @@ def containment_pairs(docs: DataFrame, items: DataFrame, n: int = 5, num: int =
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents that contain no item, all their columns; rows with a null doc_id stay."""
     # written first: of a table whose size is known Spark sees whether it can be broadcast, which spares the texts a shuffle
-    dirty = materialize(containment_pairs(docs, items, n, num, den).select(F.col("doc_id").alias("_dirty")).distinct(), "dirty")
-    return docs.join(dirty, F.col("doc_id") == F.col("_dirty"), "left_anti")
+    pairs = containment_pairs(docs, items, n, num, den)
+    dirty = materialize(pairs.select(F.col("doc_id").alias("_dirty")).distinct(), "dirty")
+    discard(pairs)
+    return docs.join(dirty, docs["doc_id"] == dirty["_dirty"], "left_anti")
 
 
 CONTAINMENT_SQL = """

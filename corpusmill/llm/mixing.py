@@ -61,37 +61,37 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
     """
     docs = docs.drop("copy", "shuffle_key")
     spark = docs.sparkSession
-    counts = docs.groupBy(F.col(source).alias("_source")).agg(F.count(F.lit(1)).alias("_rows"))
+    counts = docs.groupBy(F.col(source).alias("__mix_source")).agg(F.count(F.lit(1)).alias("__mix_rows"))
     if weights is None:
-        shares = counts.withColumn("_weight", F.lit(1.0))
+        shares = counts.withColumn("__mix_weight", F.lit(1.0))
     else:
-        named = spark.createDataFrame([(k, float(w)) for k, w in weights.items()], "_name string, _weight double")
+        named = spark.createDataFrame([(k, float(w)) for k, w in weights.items()], "__mix_name string, __mix_weight double")
         near = F.broadcast if len(weights) <= MAX_BROADCAST_SOURCES else lambda side: side
-        shares = counts.join(near(named), F.col("_source").eqNullSafe(F.col("_name"))).drop("_name")
+        shares = counts.join(near(named), F.col("__mix_source").eqNullSafe(F.col("__mix_name"))).drop("__mix_name")
     shares = materialize(shares, "shares")
-    sources, weight, rows = shares.agg(F.count(F.lit(1)), F.sum("_weight"), F.sum("_rows")).first()
-    mean = F.col("_weight") / F.lit(weight or 1.0) * F.lit(float(rows or 0 if total is None else total)) / F.col("_rows")
-    rates = shares.withColumn("_mean", mean).withColumn("_parts", F.greatest(F.ceil(F.col("_mean") / MAX_MEAN), F.lit(1)).cast("long"))
-    rates = materialize(rates.select("_source", "_parts", poisson_steps(F.col("_mean") / F.col("_parts")).alias("_steps")), "rates")
+    sources, weight, rows = shares.agg(F.count(F.lit(1)), F.sum("__mix_weight"), F.sum("__mix_rows")).first()
+    mean = F.col("__mix_weight") / F.lit(weight or 1.0) * F.lit(float(rows or 0 if total is None else total)) / F.col("__mix_rows")
+    rates = shares.withColumn("__mix_mean", mean).withColumn("__mix_parts", F.greatest(F.ceil(F.col("__mix_mean") / MAX_MEAN), F.lit(1)).cast("long"))
+    rates = materialize(rates.select("__mix_source", "__mix_parts", poisson_steps(F.col("__mix_mean") / F.col("__mix_parts")).alias("__mix_steps")), "rates")
     discard(shares)
     if sources <= MAX_BROADCAST_SOURCES:
         rates = F.broadcast(rates)  # else a plain join, whose hot sources Spark can split
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    dealt = docs.join(rates, F.col(source).eqNullSafe(F.col("_source")))
+    dealt = docs.join(rates, F.col(source).eqNullSafe(F.col("__mix_source")))
 
     def below(*parts: Column) -> Column:
         """The inverse of the distribution at the number hashed from parts."""
-        return F.get(F.transform(F.array(hash_number(F.lit(seed), name, *parts) / F.lit(float(KEYS))), lambda u: F.size(F.filter("_steps", lambda s: s <= u))), F.lit(0)).cast("long")
+        return F.get(F.transform(F.array(hash_number(F.lit(seed), name, *parts) / F.lit(float(KEYS))), lambda u: F.size(F.filter("__mix_steps", lambda s: s <= u))), F.lit(0)).cast("long")
 
     def block(first: Column) -> Column:
         """Counts of the parts from first on, summed."""
-        numbers = F.sequence(first, F.least(first + (BLOCK - 1), F.col("_parts") - 1))
+        numbers = F.sequence(first, F.least(first + (BLOCK - 1), F.col("__mix_parts") - 1))
         return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, i: a + below(F.lit("part"), i.cast("string")))
 
-    more = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("_parts") - 1, F.lit(1)), F.lit(BLOCK).cast("long")), F.lit(0).cast("long"), lambda a, i: a + block(i))
-    dealt = dealt.withColumn("_times", below() + F.when(F.col("_parts") > 1, more).otherwise(0)).filter("_times > 0").drop("_steps", "_parts")
-    blocks = dealt.withColumn("_first", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"), F.lit(BLOCK).cast("long"))))
-    copies = blocks.withColumn("copy", F.explode(F.sequence(F.col("_first"), F.least(F.col("_first") + (BLOCK - 1), F.col("_times"))).cast("array<int>")))
+    more = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("__mix_parts") - 1, F.lit(1)), F.lit(BLOCK).cast("long")), F.lit(0).cast("long"), lambda a, i: a + block(i))
+    dealt = dealt.withColumn("__mix_times", below() + F.when(F.col("__mix_parts") > 1, more).otherwise(0)).filter("__mix_times > 0").drop("__mix_steps", "__mix_parts")
+    blocks = dealt.withColumn("__mix_first", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_times"), F.lit(BLOCK).cast("long"))))
+    copies = blocks.withColumn("copy", F.explode(F.sequence(F.col("__mix_first"), F.least(F.col("__mix_first") + (BLOCK - 1), F.col("__mix_times"))).cast("array<int>")))
     mixed = copies.withColumn("shuffle_key", hash_number(F.lit(seed), F.lit("order"), name, F.col("copy").cast("string"))).select(*docs.columns, "copy", "shuffle_key")
     # keys are spread evenly, so equal ranges of them are equal partitions, in order
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -50,6 +50,13 @@ def test_given_weights_and_total(spark):
     assert 0.6 < share < 0.9
 
 
+def test_columns_with_inner_names(spark):
+    docs = spark.createDataFrame([(i, "a" if i % 2 else "b", i, "x", 1.0, i) for i in range(50)], "doc_id long, source string, `_source` int, `_times` string, shuffle_key double, `_rows` int")
+    got = mix_sources(docs)
+    assert got.columns == ["doc_id", "source", "_source", "_times", "_rows", "copy", "shuffle_key"]
+    assert all(r["_source"] == r["doc_id"] == r["_rows"] for r in got.collect())
+
+
 def test_empty(spark):
     assert mix_sources(spark.createDataFrame([], "doc_id long, source string")).collect() == []
 

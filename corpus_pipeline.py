@@ -10,7 +10,7 @@ from corpusmill.llm.ngram_jaccard import keep_one_per_component
 from corpusmill.llm.quality_gam import keep_good
 from corpusmill.llm.secrets import redact_secrets
 from corpusmill.sources.tables import table
-from corpusmill.sources.workdir import materialize
+from corpusmill.sources.workdir import discard, materialize
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        if before is not None:
+            discard(before)
+        before = docs
     return docs

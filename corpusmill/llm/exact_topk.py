@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS, LEAF_ROWS = 16384, 128
+SHARD_ROWS, LEAF_ROWS = 16384, 512
 #: Bytes of vectors (8 a component) that a group has on average.  Larger groups mean fewer copies of the queries.
 GROUP_BYTES = 64 << 20
 _SLACK = 1e-9

@@ -14,9 +14,9 @@ Plan
 3. Only entries near the start of a prefix can be the first common shingle of a
    pair whose smaller set they belong to (the index prefix); lists without such
    an entry have no pair and are left out before any join.
-4. Candidates, first round: in each list the node in which the shingle stands
-   earliest (the one with the fewest rare shingles of its own) is compared with
-   all the others: as many candidates as list entries.
+4. Candidates, first round: in each list a node in which the shingle stands
+   earliest (one with the fewest rare shingles of its own) is compared with all
+   the others: as many candidates as list entries.
 5. Length, positional and sketch filters, the suffix filter, then one exact
    verification a pair.  A node with many candidates sends its set once for
    every HUB_PAIRS of them.
@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.shingles import rare_first, shingle_set, slot_counts, text_bytes
+from corpusmill.functions.shingles import lean, rare_first, shingle_set, slot_counts, text_bytes
 from corpusmill.llm.components import connected_components
 from corpusmill.sources.workdir import discard, materialize
 
@@ -215,7 +215,7 @@ class _Join:
         spark = docs.sparkSession
         order = spark.sparkContext.broadcast(slot_counts(self.docs, n))
         kind = "doc_id long, n long, digest binary, prefix array<long>, marks array<long>"
-        profiles = materialize(self.docs.mapInArrow(_profile(n, num, den, order), kind), "profiles")
+        profiles = materialize(self.docs.mapInArrow(lean(_profile(n, num, den, order)), kind), "profiles")
         known = profiles.filter("n > 0 and doc_id is not null")
         self.nodes = materialize(
             known.groupBy("digest")
@@ -227,16 +227,17 @@ class _Join:
         discard(profiles)
 
     def shared_lists(self) -> DataFrame:
-        """(shingle, node, n, pos, early, head...) of prefix shingles that two nodes or more have, one of them in its index prefix."""
+        """(shingle, node, n, pos, early, least) of prefix shingles that two nodes or more have, one of them in its index prefix; least is the list's smallest pos."""
         entries = self.nodes.select("node", "n", F.posexplode("prefix").alias("pos", "shingle")).withColumn("early", F.expr(f"pos < {_index_prefix(self.num, self.den)}"))
-        heads = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.max("early").alias("any"), F.min(F.struct("pos", "n", "node")).alias("head"))
-        heads = heads.filter("rows > 1 and any").select("shingle", "head")
-        return materialize(entries.join(heads, "shingle").select("shingle", "node", "n", "pos", "early", "head"), "lists")
+        # numbers alone, which a hash aggregate holds without sorting all entries
+        lists = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("early").cast("int")).alias("any"), F.min("pos").alias("least"))
+        lists = lists.filter("rows > 1 and any = 1").select("shingle", "least")
+        return materialize(entries.join(lists, "shingle").select("shingle", "node", "n", "pos", "early", "least"), "lists")
 
     def sets(self, asked: DataFrame) -> DataFrame:
         """node, shingles of asked(node, digest, first_doc)."""
         texts = self.docs.join(asked.select(F.col("first_doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        sets = texts.mapInArrow(_sets(self.n), "digest binary, shingles binary").dropDuplicates(["digest"])
+        sets = texts.mapInArrow(lean(_sets(self.n)), "digest binary, shingles binary").dropDuplicates(["digest"])
         return materialize(sets.join(asked.select("node", "digest"), "digest").select("node", "shingles"), "sets", "lz4")
 
     def marked(self, pairs: DataFrame) -> DataFrame:
@@ -258,13 +259,13 @@ class _Join:
         hubs = met.select("a", "chunk").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "shingles")
         others = met.join(sets.withColumnRenamed("node", "b"), "b").select("a", "chunk", "b", "shingles")
         rows = hubs.unionAll(others).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.asc_nulls_first("b"))
-        links = materialize(rows.mapInArrow(_verify(self.num, self.den), "a long, b long"), "links")
+        links = materialize(rows.mapInArrow(lean(_verify(self.num, self.den)), "a long, b long"), "links")
         discard(asked, sets)
         return links
 
     def across_components(self, lists: DataFrame, comp: DataFrame, known: DataFrame) -> DataFrame:
         """Pairs of different components that share a list and pass the filters, without the known ones."""
-        spans = materialize(lists.drop("head").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "spans")
+        spans = materialize(lists.drop("least").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "spans")
         mixed = spans.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("shingle")
         # linked sets differ in size by the threshold at most, so classes of that width meet their own and the next one
         size = F.floor(F.log(F.col("n").cast("double")) / max(-math.log(self.num / self.den), 1e-6)).cast("long")
@@ -280,8 +281,10 @@ class _Join:
 
     def run(self) -> DataFrame:
         lists = self.shared_lists()
+        heads = lists.filter("pos = least").groupBy("shingle").agg(F.min(F.struct("node", "n", "pos")).alias("head"))
         first = (
-            lists.filter("head.node != node")
+            lists.join(heads, "shingle")
+            .filter("head.node != node")
             .select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("head.node").alias("a"), F.col("head.n").alias("a_n"), F.col("head.pos").alias("a_pos"))
             .filter(_passes(self.num, self.den))
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("a_n")).otherwise(F.col("b_n")).alias("a_n"), F.when(F.col("a") < F.col("b"), F.col("b_n")).otherwise(F.col("a_n")).alias("b_n"))
@@ -319,7 +322,7 @@ class _Join:
         self.linked_sets = self.sets(asked)
         placed = placed.join(self.linked_sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         blocks = placed.select("comp", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "members", "shingles")
-        inside = blocks.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi").mapInArrow(_count_links(self.num, self.den), "node long, links long")
+        inside = blocks.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi").mapInArrow(lean(_count_links(self.num, self.den)), "node long, links long")
         size = self.nodes.select("node", "members")
         ends = self.across.union(self.across.select("b", "a"))
         outside = ends.join(size.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), F.col("members").alias("links"))
@@ -366,7 +369,9 @@ def keep_one_per_component(docs: DataFrame, n: int = 5, num: int = 80, den: int
     Rows with a null doc_id stay.  Of rows repeated under one doc_id all stay
     if the component bears that doc_id.
     """
-    found = similarity_components(docs, n, num, den)
+    join = _Join(docs, n, num, den)
+    found = join.run()
     # written first: of a table whose size is known Spark sees whether it can be broadcast, which spares the texts a shuffle
     gone = materialize(found.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    discard(join.rows, join.classes, join.first_comp, join.across, join.nodes)
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -53,7 +53,7 @@ SKETCH_WORDS = 4
 #: Depth to which the suffix filter cuts.
 SUFFIX_DEPTH = 3
 #: Candidates that one copy of a node's set serves.
-HUB_PAIRS = 512
+HUB_PAIRS = 64
 #: Nodes of a component are compared in pairs of blocks of about this size.
 BLOCK_NODES = 256
 

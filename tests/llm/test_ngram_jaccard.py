@@ -118,7 +118,7 @@ def test_pages_of_one_template_meet_in_no_list(spark):
     assert time.monotonic() - start < 45
 
 
-@pytest.mark.parametrize("hub", [512, 2])
+@pytest.mark.parametrize("hub", [64, 2])
 def test_hubs_send_their_set_in_parts(spark, monkeypatch, hub):
     monkeypatch.setattr(ngram_jaccard, "HUB_PAIRS", hub)
     monkeypatch.setattr(shingles, "MOST_SLOT_BITS", 16)

@@ -26,7 +26,8 @@ BAND_ROWS = 1024
 
 def exact_clusters(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, cluster_id: the smallest key with the same lower-case words; texts without words stand alone."""
-    hashed = docs.select(key, F.when(F.size(words(F.col(text))) > 0, exact_hash(F.col(text))).alias("h"))
+    # written, so that texts are read and hashed once
+    hashed = materialize(docs.select(key, F.nullif(exact_hash(F.col(text)), F.md5(F.lit(""))).alias("h")), "hashes")
     first = hashed.filter("h is not null").groupBy("h").agg(F.min(key).alias("first"))
     # a hot hash is on one side only, so the join can be split
     return hashed.join(first, "h", "left").select(key, F.coalesce("first", key).alias("cluster_id"))
@@ -100,7 +101,7 @@ def near_duplicate_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int =
     share = Fraction(threshold).limit_denominator(10_000)
     num, den = share.numerator, share.denominator
     kind = docs.schema[key].dataType.simpleString()
-    base = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), word_text(F.col(text)).alias("text"))
+    base = materialize(docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), word_text(F.col(text)).alias("text")), "words", "lz4")
     order = docs.sparkSession.sparkContext.broadcast(slot_counts(base, n))
     rows = materialize(base.mapInArrow(_profiles(n, num, den, order), f"key {kind}, h binary, n long, prefix array<bigint>"), "profiles")
     nodes = materialize(rows.groupBy("h").agg(F.min("key").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
@@ -120,7 +121,7 @@ def near_duplicate_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int =
     counted = full.select("a", "b", "a_s", "b_s").mapInArrow(_jaccards, f"a {kind}, b {kind}, shared long, total long")
     near = materialize(counted.filter(F.col("shared") * den >= (F.col("total") - F.col("shared")) * num), "links")
     members = rows.join(nodes.select("h", "node"), "h").filter("key > node").select(F.col("node").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("jaccard"), F.lit(True).alias("same")).distinct()
-    discard(shared, pairs, asked, sets)
+    discard(base, shared, pairs, asked, sets)
     return near.select("a", "b", (F.col("shared") / (F.col("total") - F.col("shared"))).alias("jaccard"), F.lit(False).alias("same")).union(members)
 
 
@@ -243,6 +244,7 @@ def split_by_clusters(clusters: DataFrame, val_ratio: float, test_ratio: float,
     Where a split ends is found from sums over ranges of the hash order; a
     cluster's place in that order then tells its split, without a join.
     """
+    clusters = materialize(clusters.select(key, "cluster_id"), "clusters")
     sizes = clusters.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).withColumn("order_key", hash_order(seed, "cluster_id"))
     sizes = materialize(sizes, "sizes")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("docs")).first()["docs"]

@@ -37,10 +37,6 @@ UNICODE = "(?U)"
 DEFAULT_DOMAIN = "geral"
 
 
-def _list(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def n_sentences(text: Column) -> Column:
     """Runs of sentence ends; at least one if there is anything but white space."""
     return F.when(strip(text) == "", F.lit(0)).otherwise(F.greatest(count_matches(text, "[.!?]+"), F.lit(1)))
@@ -53,7 +49,7 @@ def language(w: Column) -> Column:
 
 def _language(seen: Column) -> Column:
     size = F.greatest(F.size(seen), F.lit(1))
-    pt, en = (F.size(F.array_intersect(seen, _list(x))) / size for x in (PT_WORDS, EN_WORDS))
+    pt, en = (F.size(F.filter(seen, lambda x: x.isin(words))) / size for words in (PT_WORDS, EN_WORDS))
     return F.when((pt > en) & (pt > 0.05), "pt").when((en > pt) & (en > 0.05), "en").otherwise("outro")
 
 
@@ -68,8 +64,11 @@ def has_pii(text: Column) -> Column:
 
 def toxicity(w: Column) -> Column:
     """Ten times the share of toxic words, 1 at most; marks .,!?;: around a word do not count."""
-    hits = F.size(F.filter(w, lambda x: F.btrim(F.lower(x), F.lit(".,!?;:")).isin(TOXIC_WORDS)))
-    return F.when(F.size(w) == 0, F.lit(0.0)).otherwise(F.least(hits / F.size(w) * 10, F.lit(1.0)))
+    return _toxicity(F.transform(w, F.lower))
+
+
+def _toxicity(lower: Column) -> Column:
+    return let(lower, lambda w: F.when(F.size(w) == 0, F.lit(0.0)).otherwise(F.least(F.size(F.filter(w, lambda x: F.btrim(x, F.lit(".,!?;:")).isin(TOXIC_WORDS))) / F.size(w) * 10, F.lit(1.0))))
 
 
 def quality_score(text: Column, n_chars: Column, n_words: Column, sentences: Column) -> Column:
@@ -96,18 +95,18 @@ def manifest(docs: DataFrame, clusters: DataFrame | None = None, key: str = "doc
     clusters (key, cluster_id) fills cluster_id and is_duplicate (not the first of its cluster).
     """
     name = F.col(domain) if domain else F.lit(DEFAULT_DOMAIN)
-    base = docs.filter(F.col(text) != "").select(F.col(key).alias("raw_index"), F.col(text).alias("_text"), name.alias("domain"), words(F.col(text)).alias("_words"))
+    base = docs.filter(F.col(text) != "").select(F.col(key).alias("raw_index"), F.col(text).alias("_text"), name.alias("domain"), words(F.lower(text)).alias("_words"))
     base = base.withColumns({"n_chars": F.length("_text"), "n_words": F.size("_words"), "n_sentences": n_sentences(F.col("_text"))})
     out = base.select(
         content_id(F.col("raw_index"), F.col("_text")).alias("doc_id"),
         "n_chars",
         "n_words",
         "n_sentences",
-        language(F.col("_words")).alias("language"),
+        let(F.array_distinct("_words"), _language).alias("language"),
         "domain",
         quality_score(F.col("_text"), F.col("n_chars"), F.col("n_words"), F.col("n_sentences")).alias("quality_score"),
         has_pii(F.col("_text")).alias("has_pii"),
-        toxicity(F.col("_words")).alias("toxicity_score"),
+        _toxicity(F.col("_words")).alias("toxicity_score"),
         "raw_index",
     )
     if clusters is None:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Tables of this size in bytes that lie in fewer files than there are cores are dealt out to all cores.
-DEALT = 1 << 20, 512 << 20
+#: Tables of this size in bytes are dealt out to the cores, at least so many bytes to each.
+DEALT, LEAST_PART = (1 << 20, 512 << 20), 256 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,13 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dealt_out(rows: DataFrame) -> DataFrame:
-    """The rows of files, in as many partitions as there are cores if the files are few and small.
+    """The rows of files, in up to as many partitions as there are cores if the files are fewer and small.
 
     A file may be one row group, which one task reads; without this, all that
     follows up to the next shuffle would run in that task.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if DEALT[0] <= size <= DEALT[1] and len(rows.inputFiles()) < cores:
-        return rows.repartition(cores)
-    return rows
+    if not DEALT[0] <= size <= DEALT[1]:
+        return rows
+    parts = min(rows.sparkSession.sparkContext.defaultParallelism, size // LEAST_PART)
+    return rows.repartition(parts) if len(rows.inputFiles()) < parts else rows

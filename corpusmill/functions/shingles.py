@@ -11,6 +11,7 @@ text, over all texts.
 
 from __future__ import annotations
 
+import ctypes
 import math
 
 import numpy as np
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.sources.workdir import arrow_rows
+
 #: The slot table has one slot for about BYTES_A_SLOT bytes of text, 2^MOST_SLOT_BITS at most.
 LEAST_SLOT_BITS, MOST_SLOT_BITS, BYTES_A_SLOT = 16, 22, 256
 SLOT_PARTS = 256
@@ -124,14 +127,25 @@ def shingle_set(a: np.ndarray, n: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(a), n))
 
 
+#: Rows of texts or sets that a kernel gets at once.
+BATCH_ROWS = 2000
+
+
+def _trim() -> None:
+    """Give memory that is free back to the system: that of Arrow, and that of the C library where it can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def lean(run):
-    """An Arrow kernel that hands memory back to the system after every batch, as workers outlive their tasks."""
+    """An Arrow kernel that hands memory back when it ends, as workers outlive their tasks."""
 
     def kernel(batches):
-        for batch in run(batches):
-            yield batch
-            del batch
-            pa.default_memory_pool().release_unused()
+        yield from run(batches)
+        _trim()
 
     return kernel
 
@@ -206,9 +220,11 @@ def slot_counts(docs: DataFrame, n: int) -> np.ndarray:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max(math.ceil(math.log2(max(size / BYTES_A_SLOT, 1))), LEAST_SLOT_BITS), MOST_SLOT_BITS)
     kind = "part int, hits binary"
-    parts = docs.select("text").mapInArrow(_count_slots(n, bits), kind).repartition("part").mapInArrow(_sum_slots(bits), kind)
+    parts = docs.select("text").mapInArrow(lean(_count_slots(n, bits)), kind).repartition("part").mapInArrow(_sum_slots(bits), kind)
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        rows = parts.collect()
     total = np.zeros((SLOT_PARTS, (1 << bits) // SLOT_PARTS), dtype=np.uint32)
-    for row in parts.collect():
+    for row in rows:
         total[row["part"]] = np.minimum(_wide(bytes(row["hits"]), bits), np.iinfo(np.uint32).max)
     return total.ravel()
 

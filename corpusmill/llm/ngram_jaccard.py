@@ -45,9 +45,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.shingles import lean, rare_first, shingle_set, slot_counts, text_bytes
+from corpusmill.functions.shingles import BATCH_ROWS, lean, rare_first, shingle_set, slot_counts, text_bytes
 from corpusmill.llm.components import connected_components
-from corpusmill.sources.workdir import discard, materialize
+from corpusmill.sources.workdir import arrow_rows, discard, materialize
 
 SKETCH_WORDS = 4
 #: Depth to which the suffix filter cuts.
@@ -215,7 +215,8 @@ class _Join:
         spark = docs.sparkSession
         order = spark.sparkContext.broadcast(slot_counts(self.docs, n))
         kind = "doc_id long, n long, digest binary, prefix array<long>, marks array<long>"
-        profiles = materialize(self.docs.mapInArrow(lean(_profile(n, num, den, order)), kind), "profiles")
+        with arrow_rows(spark, BATCH_ROWS):
+            profiles = materialize(self.docs.mapInArrow(lean(_profile(n, num, den, order)), kind), "profiles")
         known = profiles.filter("n > 0 and doc_id is not null")
         self.nodes = materialize(
             known.groupBy("digest")
@@ -238,7 +239,8 @@ class _Join:
         """node, shingles of asked(node, digest, first_doc)."""
         texts = self.docs.join(asked.select(F.col("first_doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
         sets = texts.mapInArrow(lean(_sets(self.n)), "digest binary, shingles binary").dropDuplicates(["digest"])
-        return materialize(sets.join(asked.select("node", "digest"), "digest").select("node", "shingles"), "sets", "lz4")
+        with arrow_rows(self.docs.sparkSession, BATCH_ROWS):
+            return materialize(sets.join(asked.select("node", "digest"), "digest").select("node", "shingles"), "sets", "lz4")
 
     def marked(self, pairs: DataFrame) -> DataFrame:
         """The pairs(a, b, a_n, b_n) that pass the sketch filter."""
@@ -259,7 +261,8 @@ class _Join:
         hubs = met.select("a", "chunk").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "shingles")
         others = met.join(sets.withColumnRenamed("node", "b"), "b").select("a", "chunk", "b", "shingles")
         rows = hubs.unionAll(others).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.asc_nulls_first("b"))
-        links = materialize(rows.mapInArrow(lean(_verify(self.num, self.den)), "a long, b long"), "links")
+        with arrow_rows(self.docs.sparkSession, BATCH_ROWS):
+            links = materialize(rows.mapInArrow(lean(_verify(self.num, self.den)), "a long, b long"), "links")
         discard(asked, sets)
         return links
 
@@ -358,7 +361,8 @@ def similarity_links(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     """
     join = _Join(docs, n, num, den)
     join.run()
-    classes = materialize(join.classes.join(join.link_counts(), "digest"), "classes")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        classes = materialize(join.classes.join(join.link_counts(), "digest"), "classes")
     discard(join.classes, join.linked_sets, join.first_comp, join.across, join.nodes)
     return join.by_row(classes, F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
 

@@ -203,7 +203,9 @@ def star_clusters(nodes: DataFrame, edges: DataFrame, key: str = "doc_id") -> Da
     while not state.filter("centre is null").isEmpty():
         seen = lower.join(state.select(F.col("node").alias("low"), "centre"), "low")
         verdict = seen.groupBy("node").agg(F.bool_or(F.coalesce("centre", F.lit(False))).alias("taken"), F.bool_and(~F.coalesce("centre", F.lit(True))).alias("free"))
-        state = materialize(state.join(verdict, "node", "left").select("node", F.coalesce("centre", F.when(F.col("taken"), False).when(F.col("free"), True)).alias("centre")), "state")
+        decided = materialize(state.join(verdict, "node", "left").select("node", F.coalesce("centre", F.when(F.col("taken"), False).when(F.col("free"), True)).alias("centre")), "state")
+        discard(state)
+        state = decided
     centres = state.filter("centre").select(F.col("node").alias("low"))
     claims = lower.join(centres, "low").groupBy("node").agg(F.min("low").alias("claim"))
     return state.join(claims, "node", "left").select(F.col("node").alias(key), F.when(F.col("centre"), F.col("node")).otherwise(F.col("claim")).alias("cluster_id"))

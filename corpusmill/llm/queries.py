@@ -7,7 +7,6 @@ op5 (dynamic programming), op6 (a trained model), the added spans of op8 (a trai
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpusmill.llm import decontaminate, exact_topk, license_scan, mixing, quality_gam, role_repair, secrets, url_filter, warc
 from corpusmill.llm.ngram_jaccard import similarity_links

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+from functools import cache
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -20,6 +23,23 @@ def strip(text: Column, chars: str = SPACE) -> Column:
     return F.regexp_replace(text, rf"\A{chars}+|{chars}+\z", "")
 
 
+@cache
+def _upper_letters() -> tuple[str, str]:
+    """All letters that are not their own upper case, and the one letter that is it.
+
+    ß has the capital ẞ, Greek letters with an iota below have the title form, ligatures stay.
+    """
+    one = lambda c: "ẞ" if c == "ß" else next((u for u in (c.upper(), c.title()) if len(u) == 1), c)
+    pairs = [(c, one(c)) for c in map(chr, range(sys.maxunicode + 1)) if c.upper() != c]
+    pairs = [(c, u) for c, u in pairs if u != c]
+    return "".join(c for c, _ in pairs), "".join(u for _, u in pairs)
+
+
+def upper_by_letter(text: Column) -> Column:
+    """Upper case with one letter for each letter, as DuckDB's upper; F.upper makes SS of ß and FI of ﬁ."""
+    return F.translate(text, *_upper_letters())
+
+
 @F.arrow_udf(StringType())
 def _decomposed(text: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(pc.utf8_normalize(text, form="NFKD"), pattern=r"\p{Mn}+", replacement="")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import upper_by_letter
 from corpusmill.operators import contamination, dedup, quality
 from corpusmill.plans.corpus import CLUSTERS, ORDERED
 from corpusmill.plans.registry import query
@@ -39,7 +40,7 @@ def split_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 query("task_load", "SELECT item_id, upper(substr(text, 1, 3)) AS question FROM benchmark ORDER BY item_id LIMIT 25")(
-    lambda s, d: io.load_rows(s, new_path(s, "none"), json_lines(s, d), ITEM, lambda rows: rows.select("item_id", F.upper(F.substring("text", 1, 3)).alias("question")), 25, "item_id")
+    lambda s, d: io.load_rows(s, new_path(s, "none"), json_lines(s, d), ITEM, lambda rows: rows.select("item_id", upper_by_letter(F.substring("text", 1, 3)).alias("question")), 25, "item_id")
 )
 query("prefix_sample", "SELECT item_id FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 30) WHERE item_id % 3 <> 0")(
     lambda s, d: io.prefix_sample(items(s, d).withColumn("text", F.when(F.col("item_id") % 3 == 0, "").otherwise(F.col("text"))), 30, "item_id").select("item_id")

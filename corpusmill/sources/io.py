@@ -20,7 +20,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Blank lines are skipped; a missing file is an empty table."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(path)
+    # at the default of 20 million characters a row with a longer text would come back as nulls
+    return spark.read.schema(schema).option("maxStringLen", 2**31 - 1).json(path)
 
 
 def read_instructions(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
@@ -60,8 +61,8 @@ def read_preferences(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cap(rows: DataFrame, n: int | None, key: str) -> DataFrame:
-    """The first n rows by key; all for None."""
-    return rows if n is None else rows.orderBy(key).limit(n)
+    """The first n rows by key, rows without one last; all for None."""
+    return rows if n is None else rows.orderBy(F.col(key).asc_nulls_last()).limit(n)
 
 
 def prefix_sample(rows: DataFrame, n: int, key: str, text: str = "text") -> DataFrame:

@@ -1,9 +1,11 @@
 import json
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from corpusmill.functions.ordering import numbered
 from corpusmill.operators import contamination, dedup, metrics, mixtures, packing, reports, stats, tasks
 from corpusmill.sources import io
@@ -25,6 +27,16 @@ def test_rows_come_from_the_hub_then_from_a_file(spark, tmp_path):
     assert io.read_instructions(spark, local, schema).count() == 3
 
 
+def test_loaded_task_equals_its_sql_on_odd_items(spark, tmp_path):
+    rows = [(None, "first"), *[(i, "Erß" if i % 2 else "ﬁnǆ") for i in range(20)], (-1, None), (20, ""), (21, "y" * 20_000_001), (22, "\U0001f600ᾳ\u0149"), (23, "\x00\r\n")]
+    table = str(tmp_path / "benchmark.parquet")
+    for part in (rows, rows[:3]):
+        spark.createDataFrame(part, "item_id long, text string").write.mode("overwrite").parquet(table)
+        want = duckdb.sql(entry.oracle_sql()["task_load"].replace("benchmark", f"'{table}/*.parquet'")).fetchall()
+        assert [tuple(r) for r in entry.queries()["task_load"](spark, str(tmp_path)).collect()] == want
+        assert want[-1] == ((23, "\x00\r\n") if part is rows else (None, "FIR"))
+
+
 def test_tasks_that_are_to_run(spark):
     rows = [("a", True, None, "x"), ("b", False, None, "x"), ("c", None, "here", "x"), ("d", True, "gone", "x"), ("e", True, None, "y")]
     catalogue = spark.createDataFrame(rows, "name string, enabled boolean, path string, `group` string")

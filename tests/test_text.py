@@ -4,6 +4,7 @@ import re
 import time
 import unicodedata
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +46,13 @@ def test_normalize(rows):
     assert get(rows, tx.normalize(F.col("text"))) == [expected(t) for t in more]
 
 
+def test_upper_case_by_letter_equals_that_of_sql(spark):
+    text = "".join(chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000)
+    got = get(spark.createDataFrame([(0, text), (1, "aß😀ﬁ\u1fb3"), (2, None)], "doc_id long, text string"), tx.upper_by_letter(F.col("text")))
+    assert got[0] == duckdb.execute("SELECT upper(?)", [text]).fetchall()[0][0]
+    assert got[1:] == ["Aẞ😀ﬁ\u1fbc", None]
+
+
 def test_ngrams_and_hashes(rows):
     def grams(t, n):
         w = t.split()
